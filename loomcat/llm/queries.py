@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomcat.llm import pairs, terms, tokens
+from loomcat.llm import leakage, names, pairs, subjects, terms, tokens, truncation
 from loomcat.session import table
 
 
@@ -18,6 +18,44 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_terms(spark, sf_dir).where("mark is not null").select("term", "mark")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose description lost its end."""
+    return truncation.cut_records(table(spark, sf_dir, "items")).select("row_id")
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each feed cuts descriptions."""
+    return truncation.cut_shares(table(spark, sf_dir, "items"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "items")
+    kinds = {"part_manuf": "manuf", "unilog_brand": "brand", "dib_brand": "brand"}
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for c, k in kinds.items())))
+    return items.select(cells.alias("c")).select("c.kind", "c.name")
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the organisation or brand it stands for."""
+    return names.linked_names(_names(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one organisation or brand."""
+    return names.variant_pairs(_names(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entered names with the code of the manufacturer or brand they mean."""
+    items, decided, makers = (table(spark, sf_dir, t) for t in ("items", "resolutions", "manufacturers"))
+    fields = [(items, "part_manuf", "manuf"), (items, "e1_brand", "brand"), (decided, "manufacturer_name", "manuf")]
+    cells = [t.select(F.lit(f).alias("field_name"), F.lit(k).alias("kind"), F.col(f).alias("name")) for t, f, k in fields]
+    entered = cells[0].unionByName(cells[1]).unionByName(cells[2])
+    maker = makers.select(F.lit("manuf").alias("kind"), F.col("manufacturer_name").alias("name"), F.col("manufacturer_code").alias("code"))
+    brand = makers.select(F.lit("brand").alias("kind"), F.col("brand_name").alias("name"), F.col("brand_code").alias("code"))
+    return names.canonical_codes(entered, maker.unionByName(brand).distinct())
+
+
 def _pair_table(spark: SparkSession, sf_dir: str) -> pairs.PairTable:
     kept = pairs.PairTable(spark)
     kept.apply(pairs.baskets(table(spark, sf_dir, "items")))
@@ -39,5 +77,26 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_terms, p2_found, p5_pairs, p5_found, p7_ids)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold evaluation items."""
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items with the number of documents that hold them, and the largest share covered."""
+    found = leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max("covered"), 6).alias("covered"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of every document."""
+    return subjects.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by subject."""
+    return p9_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_terms, p2_found, p3_found, p3_shares, p4_classes, p4_found, p6_found, p5_pairs, p5_found, p7_ids, p8_found, p8_items, p9_found, p9_composition)}
 ORACLES: dict[str, str] = {}
