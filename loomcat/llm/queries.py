@@ -35,14 +35,20 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(cells.alias("c")).select("c.kind", "c.name")
 
 
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    makers, distributors = table(spark, sf_dir, "manufacturers"), table(spark, sf_dir, "distributors")
+    manuf = makers.select("manufacturer_name").union(distributors.select("name")).toDF("name").withColumn("kind", F.lit("manuf"))
+    return manuf.unionByName(makers.select(F.lit("brand").alias("kind"), F.col("brand_name").alias("name")))
+
+
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every spelling with the organisation or brand it stands for."""
-    return names.linked_names(_names(spark, sf_dir))
+    return names.linked_names(_names(spark, sf_dir), _known(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of spellings of one organisation or brand."""
-    return names.variant_pairs(_names(spark, sf_dir))
+    return names.variant_pairs(_names(spark, sf_dir), _known(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

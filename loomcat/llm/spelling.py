@@ -36,11 +36,13 @@ PLACEHOLDERS = (
 
 
 class Spelling(NamedTuple):
-    """proper: letters of the proper name; trade: one word of the trade or empty; cut: the proper name was abbreviated with a dot."""
+    """proper: letters of the proper name; trade: one word of the trade or empty; cut: the proper name was abbreviated
+    with a dot; partner: a second proper name, or empty."""
 
     proper: str
     trade: str
     cut: bool
+    partner: str = ""
 
 
 def plain(name: str) -> str:
@@ -97,13 +99,13 @@ def read_organisation(name: str) -> Spelling:
     if not proper:
         return Spelling(" ".join(tokens), "", False)
     trade = min(trades, key=TRADES.index) if trades else ""
-    return Spelling(proper[0], trade, proper[0] in dotted)
+    return Spelling(proper[0], trade, proper[0] in dotted, proper[1] if len(proper) > 1 else "")
 
 
 def read_brand(name: str) -> Spelling:
     """Proper name of a brand's spelling, without blanks and hyphens; a word that names its line is dropped."""
     s = plain(name)
-    dotted = s.rstrip().endswith(".")
+    dotted = bool(re.search(r"[a-z]{3,}\.", s))
     tokens = [t for t in re.findall(r"[a-z]+", s.replace("'s ", " ")) if t not in ACCOUNT and t != "the"]
     while len(tokens) > 1 and tokens[-1] in LINES:
         tokens.pop()
@@ -116,18 +118,23 @@ def read_brand(name: str) -> Spelling:
 
 
 def edits(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or most + 1 if it is larger."""
+    """Edits between two words, a swap of two neighbouring letters being one; most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    row = list(range(len(b) + 1))
+    before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        left = i
-        last, row[0] = row[0], i
-        low = i
-        for j, y in enumerate(b, 1):
-            left = min(row[j] + 1, left + 1, last + (x != y))
-            last, row[j] = row[j], left
-            low = min(low, left)
-        if low > most:
+        before, row = row, next_row(b, row, before, x, a[i - 2] if i > 1 else "")
+        if min(row) > most:
             return most + 1
     return row[-1]
+
+
+def next_row(word: str, row: list[int], before: list[int], letter: str, last: str) -> list[int]:
+    """Distances of all beginnings of `word` from a text one letter longer: the next state of the automaton."""
+    out = [row[0] + 1]
+    for j, own in enumerate(word, 1):
+        d = min(row[j] + 1, out[-1] + 1, row[j - 1] + (own != letter))
+        if before and j > 1 and own == last and word[j - 2] == letter:
+            d = min(d, before[j - 2] + 1)
+        out.append(d)
+    return out
