@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomcat.session import settled, small
+from loomcat.session import settled, small, stored
 
 #: Lengths of the contexts in characters, shortest first; each backs off to the one before.
 ORDERS = (2, 4, 7, 12)
@@ -32,39 +32,40 @@ MARKS = r"\s*(?:\.\.+|…|�+|&[#a-zA-Z0-9]{0,6})\s*$"
 
 def _spelled(text: Column) -> Column:
     """Lower case, digits and vulgar fractions as 0, single blanks, no cut mark."""
-    plain = F.regexp_replace(F.regexp_replace(text, MARKS, ""), r"\s+", " ")
-    return F.translate(F.lower(F.trim(plain)), "123456789½¼¾", "000000000000")
+    whole = F.trim(F.when(_marked(text), F.regexp_replace(text, MARKS, "")).otherwise(text))
+    single = F.when(whole.rlike(r"\s\s|[\t\r\n]"), F.regexp_replace(whole, r"\s+", " ")).otherwise(whole)
+    return F.translate(F.lower(single), "123456789½¼¾", "000000000000")
 
 
-def _tail(text: Column, n: int) -> Column:
-    return F.substring(text, -n, n)
+def _marked(text: Column) -> Column:
+    """Whether a cut mark ends the text; only its end is looked at."""
+    return F.substring(text, -12, 12).rlike(MARKS)
 
 
-def _contexts(words: Column) -> Column:
-    """The last two words of a list, cut to the longest context."""
-    n = F.size(words)
-    before = F.when(n > 1, F.try_element_at(words, n - 1)).otherwise("^")
-    return _tail(F.concat(before, F.lit(" "), F.element_at(words, -1)), ORDERS[-1])
+def _tail(text: Column, n: int) -> Column:
+    return F.substring(text, -n, n)
 
 
 def prepared(records: DataFrame, key: str = "row_id", text: str = "description", feed: str = "feed") -> DataFrame:
-    """key, feed, length, words and context of every text that is neither null nor blank.
+    """key, feed, length, spelled and context of every text that is neither null nor blank.
 
-    length is the number of characters, followed by s if one blank ends the text; `mark` stands for any cut mark.
+    length is the number of characters, followed by s if one blank ends the text; `mark` stands for any cut mark. The
+    context is the end of the last two words, with ^ for the start of the text.
     """
     t = F.col(text)
-    cut = F.length(F.rtrim(t))
-    length = F.when(t.rlike(MARKS), "mark").when(F.length(t) == cut + 1, F.concat(F.length(t).cast("string"), F.lit("s"))).otherwise(cut.cast("string"))
-    return (
-        records.select(F.col(key).alias("key"), F.coalesce(F.col(feed), F.lit("")).alias("feed"), length.alias("length"), F.split(_spelled(t), " ").alias("words"))
-        .where("words is not null and element_at(words, 1) <> ''")
-        .withColumn("context", _contexts(F.col("words")))
-    )
+    size, cut = F.length(t), F.length(F.rtrim(t))
+    told = records.where(F.trim(t) != "").select(
+        F.col(key).alias("key"), F.coalesce(F.col(feed), F.lit("")).alias("feed"),
+        F.when(_marked(t), "mark").when(size == cut + 1, F.concat(size.cast("string"), F.lit("s"))).otherwise(cut.cast("string")).alias("length"), _spelled(t).alias("spelled"),
+    )
+    context = _tail(F.substring_index(F.concat(F.lit("^ "), F.col("spelled")), " ", -2), ORDERS[-1])
+    return told.where("spelled <> ''").withColumn("context", context)
 
 
 def _positions(texts: DataFrame) -> DataFrame:
     """context, inside, at_word_end: how often each context occurs within words and at the end of words."""
-    shifted = F.arrays_zip(F.concat(F.array(F.lit("^")), F.col("words")).alias("before"), F.col("words").alias("word"))
+    words = F.split("spelled", " ")
+    shifted = F.arrays_zip(F.concat(F.array(F.lit("^")), words).alias("before"), words.alias("word"))
     pairs = texts.select(F.explode(shifted).alias("p")).select("p.before", "p.word").where("word is not null").groupBy("before", "word").count()
     size = F.length("word")
     spread = pairs.select("before", "word", "count", F.explode(F.sequence(F.lit(1), size)).alias("n"))
@@ -146,7 +147,7 @@ def cut_ends(texts: DataFrame) -> DataFrame:
     columns = "feed string, length string, context string, n long"
     met = ends.select("*", bucket).groupBy("bucket").cogroup(positions.select("*", bucket).groupBy("bucket"))
     known = settled(met.applyInPandas(_go_on, f"{columns}, " + ", ".join(f"on{k} double" for k in ORDERS)))
-    letters = texts.agg(F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w) + 1)), F.count("*")).first()
+    letters = texts.agg(F.sum(F.length("spelled") + 1), F.count("*")).first()
     start = (letters[1] or 0) / max((letters[0] or 0) + (letters[1] or 0), 1)
     shares, judged = _first_guess(ends), None
     for _ in range(ROUNDS):
@@ -166,7 +167,7 @@ def cut_records(records: DataFrame, key: str = "row_id", text: str = "descriptio
 
     A record sent again is one case; an empty table gives no rows; extra columns are ignored.
     """
-    texts = prepared(records, key, text, feed)
+    texts = stored(prepared(records, key, text, feed))
     hits = cut_ends(texts).where(F.col("cut") > above).select("feed", "length", "context")
     found = texts.select("key", "feed", "length", "context").join(small(hits), ["feed", "length", "context"], "left_semi")
     return found.select(F.col("key").alias(key), "feed").dropDuplicates([key])
