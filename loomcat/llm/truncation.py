@@ -120,12 +120,14 @@ def _judge(start: float):
         n = group["n"].to_numpy(float)
         marked = (group["length"] == "mark").to_numpy()
         prior = np.log(group["share"].to_numpy(float) / (1 - group["share"].to_numpy(float)))
-        cut = np.where(group["piled"].to_numpy(bool), 1.0, 0.0) if "cut" not in group else group["cut"].to_numpy(float)
+        piled = group["piled"].to_numpy(bool)
+        cut = np.where(piled, 1.0, 0.0)
         for _ in range(INNER):
             p = start
             for c, go in zip(codes, on, strict=True):
-                # a text is judged by the ends of other texts
-                stop = np.maximum(np.bincount(c, n * (1 - cut))[c] - (1 - cut), 0)
+                # a text is judged by the ends of other texts; at a field limit none is sure to be an end
+                whole = np.where(piled, 0.0, 1 - cut)
+                stop = np.maximum(np.bincount(c, n * whole)[c] - whole, 0)
                 p = (stop + BACK_OFF * p) / (stop + go + BACK_OFF)
             p = np.clip(p, 1e-6, 1 - 1e-6)
             against = np.log((1 - p) / p) - np.log((1 - start) / start)
