@@ -55,7 +55,7 @@ def marketing(documents: DataFrame, key: str = "doc_id", column: str = "text") -
     body = F.regexp_extract(column, r"(?m)^Overview[ \t]*\n((?:[^\n]*\S[^\n]*(?:\n|\z))+)", 1)
     at = F.call_function("instr", F.col(column), body) - 1
     found = documents.select(key, body.alias("raw"), at.alias("start")).where("raw <> ''")
-    return found.select(key, text.collapse(F.col("raw")).alias("body"), "start", (F.col("start") + F.length(F.rtrim("raw"))).alias("end"))
+    return found.select(key, text.collapse(F.col("raw")).alias("body"), "start", (F.col("start") + F.length(F.regexp_replace("raw", r"\s+$", ""))).alias("end"))
 
 
 def links(documents: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -107,13 +107,15 @@ def gate_summary(gated: DataFrame, order: str) -> DataFrame:
     return gated.groupBy("domain", "reason").agg(F.count("*").alias("decisions"), F.min_by("url", order).alias("first_url"))
 
 
-def document_of(items: DataFrame, documents: DataFrame, order: str = "doc_id") -> DataFrame:
-    """row_id, doc_id: the last document of each item's part number; a number that stands for no product has none.
+def document_of(items: DataFrame, documents: DataFrame, order: str = "doc_id", catch_all: tuple[str, ...] = ("MISC-0000",)) -> DataFrame:
+    """row_id, doc_id: the last document of each item's part number; the numbers of `catch_all` stand for no product and have none.
 
     Documents are reduced to one per part before the join, so a part number that many items share meets one row.
     """
-    last = documents.where("part_number is not null").groupBy("part_number").agg(F.max(order).alias("doc_id"))
-    return items.where("part_number is not null and part_number <> ''").select("row_id", "part_number").join(last, "part_number").select("row_id", "doc_id")
+    named = F.coalesce(F.col("part_number"), F.lit("")) != ""
+    real = named & ~F.col("part_number").isin(*catch_all)
+    last = documents.where(real).groupBy("part_number").agg(F.max(order).alias("doc_id"))
+    return items.where(real).select("row_id", "part_number").join(last, "part_number").select("row_id", "doc_id")
 
 
 def overruled(attributes: DataFrame, specs: DataFrame) -> DataFrame:
