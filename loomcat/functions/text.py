@@ -11,10 +11,17 @@ from loomcat import vocabulary as V
 _SPACE = r"(?U)\s+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where lambdas use it many times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_HOLE = r"^\s*(?:|nan|nat|" + "|".join(V.PLACEHOLDERS) + r")\s*$"
+
+
 def is_placeholder(c: Column) -> Column:
-    """True for null, blank, nan, nat and the placeholder patterns."""
-    low = F.lower(F.trim(F.regexp_replace(c, _SPACE, " ")))
-    return c.isNull() | low.isin("", "nan", "nat") | low.rlike("^(?:" + "|".join(V.PLACEHOLDERS) + ")$")
+    """True for null, blank, nan, nat and the placeholder patterns, whatever their case."""
+    return c.isNull() | F.lower(c).rlike(_HOLE)
 
 
 def collapse(c: Column) -> Column:
@@ -24,7 +31,7 @@ def collapse(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """The empty string for placeholders, else the text with single blanks."""
-    return F.when(is_placeholder(c), "").otherwise(collapse(c))
+    return F.when(is_placeholder(c), "").when(c.rlike(r"^\s|\s$|\s\s|[^\x21-\x7e ]"), collapse(c)).otherwise(c)
 
 
 def norm_key(c: Column) -> Column:
@@ -155,35 +162,46 @@ def invoice_form(c: Column) -> Column:
 def title_case(c: Column, units: list[str]) -> Column:
     """First letters of words as capitals; units, words with digits, short capitals and marks stay as they are."""
 
-    def one(w: Column, i: Column) -> Column:
-        lead = F.regexp_extract(w, r"^[,;:.()]*", 0)
-        bare = F.regexp_replace(w, r"^[,;:.()]+|[,;:.()]+$", "")
-        trail = F.substring(w, F.length(lead) + F.length(bare) + 1, F.length(w))
-        around = lambda x: F.concat(lead, x, trail)
-        stays = bare.isin(units) | bare.rlike(r"(?U)\d") | ((bare == F.upper(bare)) & (bare != F.lower(bare)) & (F.length(bare) <= 5)) | bare.rlike("[®™]")
+    def parts(w: Column) -> Column:
+        plain = w.rlike("^[A-Za-z]+$")  # most words have nothing around them
+        lead = F.when(plain, "").otherwise(F.regexp_extract(w, r"^[,;:.()]*", 0))
+        bare = F.when(plain, w).otherwise(F.regexp_replace(w, r"^[,;:.()]+|[,;:.()]+$", ""))
+        return F.struct(w.alias("w"), lead.alias("lead"), bare.alias("bare"), F.upper(bare).alias("up"))
+
+    def one(x: Column, i: Column) -> Column:
+        w, lead, bare = x["w"], x["lead"], x["bare"]
+        around = lambda v: F.concat(lead, v, F.substring(w, F.length(lead) + F.length(bare) + 1, F.length(w)))
+        stays = bare.isin(units) | bare.rlike(r"[0-9®™]") | ((bare == x["up"]) & (bare != F.lower(bare)) & (F.length(bare) <= 5))
         return (
             F.when((w == "") | (bare == ""), w)
-            .when(F.upper(bare).isin(V.KEEP_CASE), around(F.upper(bare)))
+            .when(x["up"].isin(V.KEEP_CASE), around(x["up"]))
             .when(stays, w)
             .when(F.lower(bare).isin(V.LOWER_WORDS) & (i > 0), around(F.lower(bare)))
-            .otherwise(around(F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, F.lit(2), F.length(bare)))))
+            .otherwise(around(F.concat(F.substring(x["up"], 1, 1), F.substring(bare, F.lit(2), F.length(bare)))))
         )
 
-    return F.array_join(F.transform(F.split(c, " "), one), " ")
+    return F.array_join(F.transform(F.transform(F.split(c, " "), parts), one), " ")
 
 
 def fit(c: Column, most: int, separator: str = ", ") -> Column:
     """The text within a limit: whole parts dropped from its end, else whole words, else cut."""
-    s = collapse(c)
 
-    def longest(sep: str, strip: str) -> Column:
-        parts = F.split(s, sep.replace(".", r"\."))
-        n = F.size(parts)
-        cut = F.transform(F.when(n > 1, F.sequence(n - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda k: F.regexp_replace(F.trim(F.array_join(F.slice(parts, F.lit(1), k), sep)), strip, ""))
-        return F.try_element_at(F.filter(cut, lambda x: F.length(x) <= most), F.lit(1))
+    def longest(s: Column, sep: str, strip: str) -> Column:
+        def of(parts: Column) -> Column:
+            n = F.size(parts)
+            # the length of the first k parts with their separators rules out most of what is too long
+            lengths = F.aggregate(parts, F.array(F.lit(-len(sep))), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p) + len(sep)))
+            fits = F.filter(F.sequence(F.lit(1), n - 1), lambda k: F.element_at(lengths, k + 1) <= most + 4)
+            cut = F.transform(F.reverse(fits), lambda k: F.regexp_replace(F.trim(F.array_join(F.slice(parts, F.lit(1), k), sep)), strip, ""))
+            return F.when(n > 1, F.try_element_at(F.filter(cut, lambda x: F.length(x) <= most), F.lit(1)))
+
+        return let(F.split(s, sep.replace(".", r"\.")), of)
+
+    def whole(s: Column) -> Column:
+        hard = F.regexp_replace(F.rtrim(F.substring(s, 1, most)), "[,;-]+$", "")
+        return F.when(F.length(s) <= most, s).otherwise(F.coalesce(longest(s, separator, "[,;]+$"), longest(s, " ", "[,;-]+$"), hard))
 
-    hard = F.regexp_replace(F.rtrim(F.substring(s, 1, most)), "[,;-]+$", "")
-    return F.when(F.length(s) <= most, s).otherwise(F.coalesce(longest(separator, "[,;]+$"), longest(" ", "[,;-]+$"), hard))
+    return let(collapse(c), whole)
 
 
 def band(confidence: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from loomcat import vocabulary as V
+from loomcat.functions.text import let
 
 ANY = "(?U)" + "|".join(f"(?:{p})" for _, p in V.TOKEN_KINDS)
 
@@ -19,29 +20,34 @@ def _kind(t: Column) -> Column:
 def tokens(text: Column) -> Column:
     """ARRAY<STRUCT<text, start, end, kind, norm, skeleton, is_measure>> of a text; empty for null and empty texts.
 
-    Only white space lies between tokens, so each stands at its first occurrence behind the one before.
+    Only white space lies between tokens, so each stands at its first occurrence behind the one before. Every step is
+    bound once: lambdas would evaluate what they refer to for each token again.
     """
-    s = F.coalesce(text, F.lit(""))
-    found = F.regexp_extract_all(s, F.lit(ANY), F.lit(0))
-    texts = F.transform(found, lambda t: F.regexp_replace(t, r"(?U)\s+$", ""))
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<text:string,start:int>>").alias("out"))
 
-    def step(acc: Column, t: Column) -> Column:
-        at = F.call_function("locate", t, s, acc["at"])
-        return F.struct((at + F.length(t)).cast("int").alias("at"), F.array_append(acc["out"], F.struct(t.alias("text"), (at - 1).cast("int").alias("start"))).alias("out"))
+    def place(s: Column) -> Column:
+        def step(acc: Column, t: Column) -> Column:
+            return let(F.call_function("locate", t, s, acc["at"]), lambda at: F.struct((at + F.length(t)).cast("int").alias("at"), F.array_append(acc["out"], F.struct(t.alias("text"), (at - 1).cast("int").alias("start"))).alias("out")))
 
-    placed = F.aggregate(texts, start, step, lambda acc: acc["out"])
+        found = F.regexp_extract_all(s, F.lit(ANY), F.lit(0))
+        # only measures end in white space, by their optional unit
+        return F.aggregate(F.transform(found, lambda t: F.rtrim(F.regexp_replace(t, r"[\t\r\n\u00a0]+$", ""))), start, step, lambda acc: acc["out"])
+
+    def kinds(p: Column) -> Column:
+        t = p["text"]
+        # letters alone are words, and digits alone numbers: no pattern is tried on most tokens
+        kind = F.when(t.rlike("^[A-Za-z]+$"), "word").when(t.rlike("^[0-9]+$"), "int").otherwise(_kind(t))
+        return F.struct(t.alias("text"), p["start"].alias("start"), kind.alias("kind"), F.lower(F.when(t.contains(" "), F.replace(t, F.lit(" "), F.lit(""))).otherwise(t)).alias("norm"))
 
     def whole(p: Column) -> Column:
-        t, kind = p["text"], _kind(p["text"])
-        norm = F.lower(F.regexp_replace(t, r"(?U)\s+", ""))
-        digits = F.length(F.regexp_replace(t, r"(?U)\D", ""))
+        t, kind, norm = p["text"], p["kind"], p["norm"]
+        digits = F.length(F.regexp_replace(t, r"\D", ""))
         code = F.when(digits >= F.greatest(F.lit(2), F.floor(F.length(t) / 2)), "#").otherwise(norm)
-        skeleton = F.when(kind.isin(V.MEASURE_KINDS), "#").when(kind == "code", code).when(kind.isin("punct", "bracket"), t).otherwise(norm)
+        skeleton = F.when(kind == "word", norm).when(kind.isin(V.MEASURE_KINDS), "#").when(kind == "code", code).otherwise(t)
         return F.struct(t.alias("text"), p["start"].alias("start"), (p["start"] + F.length(t)).cast("int").alias("end"), kind.alias("kind"), norm.alias("norm"), skeleton.alias("skeleton"))
 
     measured = lambda t: t.withField("is_measure", t["skeleton"] == "#")
-    return F.transform(F.transform(placed, whole), measured)
+    return F.transform(F.transform(F.transform(let(F.coalesce(text, F.lit("")), place), kinds), whole), measured)
 
 
 def skeleton(toks: Column) -> Column:

@@ -11,7 +11,7 @@ from loomcat.functions import measures, text, tokens
 from loomcat.operators import documents as docs, entity, extract, families, graph, induce, ingest, ledger, propagate, search, setjoin, verify
 from loomcat.operators.numbering import numbered
 from loomcat.plans.compile import compile_catalogue, leaves, vocabulary
-from loomcat.session import table
+from loomcat.session import keyed, table
 from loomcat.sources import catalogue as files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +62,7 @@ HOLE = lambda c: f"({c} IS NULL OR lower(trim({c})) IN ('', 'nan', 'nat') OR reg
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, each record once."""
-    return table(spark, sf_dir, "items").dropDuplicates(["row_id"])
+    return keyed(table(spark, sf_dir, "items"), "row_id").dropDuplicates(["row_id"])
 
 
 # -- ingest and scalar functions ----------------------------------------------------------------------------------
@@ -128,7 +128,7 @@ def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def item_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 over the descriptions of all items: tokens by kind."""
-    t = table(spark, sf_dir, "items").select(F.explode(tokens.tokens(text.clean(F.col("description")))).alias("t"))
+    t = keyed(table(spark, sf_dir, "items").select("row_id", "description"), "row_id").select(F.explode(tokens.tokens(text.clean(F.col("description")))).alias("t"))
     return t.groupBy("t.kind").agg(F.count("*").alias("tokens"), F.countDistinct("t.norm").alias("norms"))
 
 

@@ -32,6 +32,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def keyed(df: DataFrame, *key: str) -> DataFrame:
+    """df hash-partitioned by a key into as many parts as the session shuffles into, at least one per core.
+
+    For work that costs much per row: later steps on the key need no further shuffle, and small parts are not merged.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *key)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder; later reads survive lost executors."""
     checkpoint_dir(df.sparkSession)
