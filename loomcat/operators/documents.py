@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomcat import vocabulary as V
 from loomcat.functions import text
@@ -67,6 +67,29 @@ def links(documents: DataFrame, key: str = "doc_id", column: str = "text") -> Da
     return rows.select(key, F.regexp_extract("line", pattern, 1).alias("label"), url.alias("url"), at.alias("start"), (at + F.length(url)).alias("end"))
 
 
+def facts(documents: DataFrame, key: str = "doc_id", column: str = "text", domain: str = "domain") -> DataFrame:
+    """key, field, value, start, end: what documents say for delivery columns besides specifications.
+
+    Features and applications in order, the overview as marketing text, the title as alternative text of images, links by
+    what their label names (first match of the list), and the host, state and number of links.
+    """
+    place = lambda df, name, most: (
+        df.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("n"))).where(F.col("k") <= most).select(key, F.format_string(f"{name}_%02d", "k").alias("field"), "value", "start", "end")
+    )
+    told = place(bullets(documents, "Features", key, column), "FEATURE", 12).unionByName(place(bullets(documents, "Applications", key, column), "APPLICATION", 4))
+    told = told.unionByName(marketing(documents, key, column).select(key, F.lit("MARKETING_DESC").alias("field"), F.col("body").alias("value"), "start", "end"))
+    first = F.length(F.split(F.col(column), "\n")[0]) + 1
+    names = documents.join(title(documents, key, column), key).select(key, F.lit("IMAGE_ALT_TEXT").alias("field"), F.col("title").alias("value"), first.alias("start"), (first + F.length("title")).alias("end"))
+    refs = links(documents, key, column)
+    field = F.coalesce(*[F.when(F.lower("label").contains(word), c) for word, c in V.LINK_COLUMNS])
+    host = text.domain_of(F.col("url"))
+    linked = refs.withColumn("field", field).where(F.col("field").isNotNull() & (host != "") & ~host.isin(V.EXCLUDED_HOSTS)).select(key, "field", F.col("url").alias("value"), "start", "end")
+    per = refs.groupBy(key).agg(F.count("*").cast("string").alias("n"), F.min(F.struct("start", "end")).alias("at")).join(documents.select(key, F.col(domain).alias("d")), key)
+    cells = F.array(F.struct(F.lit("ASSET_SOURCE_DOMAIN").alias("field"), F.coalesce("d", F.lit("")).alias("value")), F.struct(F.lit("ASSET_STATUS").alias("field"), F.lit("documents sourced; images not retrieved").alias("value")), F.struct(F.lit("ASSET_COUNT").alias("field"), F.col("n").alias("value")))
+    assets = per.select(key, F.explode(cells).alias("c"), "at").select(key, "c.field", "c.value", F.col("at.start").alias("start"), F.col("at.end").alias("end"))
+    return told.unionByName(names).unionByName(linked).unionByName(assets)
+
+
 def names_part(documents: DataFrame, key: str = "doc_id", column: str = "text", part: str = "part_number") -> DataFrame:
     """key, named: whether a text names its part, whatever the punctuation; null parts are not named."""
     p = text.squash(F.coalesce(F.col(part), F.lit("")))

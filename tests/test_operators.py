@@ -164,6 +164,8 @@ def test_documents(spark):
     m = docs.marketing(d).first()
     assert m["body"] == "Good wheel for metal." and DOC[m["start"] : m["end"]] == "Good wheel\nfor metal."
     assert [(r["label"], r["url"]) for r in docs.links(d).collect()] == [("Spec Sheet", "https://acme.example/a.pdf")]
+    said = {r["field"]: (r["value"], DOC[r["start"] : r["end"]]) for r in docs.facts(d.withColumn("domain", F.lit("acme.example"))).where("doc_id = 1").collect()}
+    assert said["FEATURE_02"] == ("Safe", "Safe") and said["IMAGE_ALT_TEXT"] == ("Acme wheel", "Acme wheel") and said["SPEC_SHEET_URL"][0] == said["SPEC_SHEET_URL"][1] == "https://acme.example/a.pdf" and said["ASSET_COUNT"][0] == "1"
     assert {r["doc_id"]: r["named"] for r in docs.names_part(d).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
 
 

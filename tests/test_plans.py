@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loomcat import vocabulary as V
+from loomcat.api import Engine
 from loomcat.plans.compile import compile_catalogue, leaves
 from loomcat.sources import catalogue as files, sinks
 from loomcat.streaming import items as stream
@@ -31,7 +32,7 @@ def test_compile(spark, tmp_path):
     rows = {r["row_id"]: r for r in run.delivery.collect()}
     assert len(rows) == 4 and run.delivery.columns == ["row_id", *V.DELIVERY]
     a = rows[0]
-    assert a["MANUFACTURER_CODE"] == "ACM" and a["UPC"] == "123" and a["FEATURE_01"] == "" and a["DIAMETER"] == "6 in" and a["LIST_PRICE"] == "" and a["CURRENCY"] == ""
+    assert a["MANUFACTURER_CODE"] == "ACM" and a["UPC"] == "123" and a["FEATURE_01"] == "Fast" and a["IMAGE_ALT_TEXT"] == "Acme disc" and a["DIAMETER"] == "6 in" and a["LIST_PRICE"] == "" and a["CURRENCY"] == ""
     assert rows[1]["UPC"] == "" and rows[3]["RECORD_STATUS"] == "review required" and all(len(r["INVOICE_DESC"]) <= 40 for r in rows.values())
     assert all(v is not None for r in rows.values() for v in r)
     for kind in ("parquet", "csv"):
@@ -41,6 +42,16 @@ def test_compile(spark, tmp_path):
     assert sinks.write_csv_file(run.delivery.select(*V.DELIVERY), f"{tmp_path}/one.csv") == 4 and open(f"{tmp_path}/one.csv", encoding="utf-8").read().startswith(sinks.BOM)
 
 
+    engine = Engine(spark, run, documents.withColumn("url", F.lit("https://acme.example/1")).withColumn("brand", F.lit("Acme")), _vocabulary(spark))
+    assert engine.schema().count() == 252 and engine.records("flap").count() == 2 and engine.page(engine.records(), 2, 3).count() == 1
+    spot = run.attributes.where("row_id = 0 and locator like 'row:%'").first()
+    assert engine.locate(spot["locator"]).first()["quote"] and engine.locate("nonsense").count() == 0
+    assert {r["column"]: r["value"] for r in engine.record(0).collect()}["UPC"] == "123" and engine.evidence(0).where("winner").count() > 5
+    assert engine.gate_test("https://acme.example/x", "Acme Wheels Inc.").first()["verdict"] == "admitted" and engine.sourcing().count() == 1
+    assert {(r["side"], r["rank"]) for r in engine.search("flap disc AB12345").collect()} >= {("before", 1), ("after", 1)}
+    assert engine.families().count() == run.families.families.count() and engine.contradictions().count() == 0 and engine.review().count() > 0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "_x.csv").write_text("a\n")
     (tmp_path / "cat.csv").write_text('MPN,Part_Desc,extra\nA1,"Disc, 5 in",x\n,,\nA2,NA,y\n')
