@@ -26,6 +26,8 @@ TERMS = 60_000
 #: Share of the sentences with a subject from which a subject counts.
 SHARE = 0.25
 BEAM = 6
+#: Sentences remembered in one task; a bound on memory.
+MEMO = 100_000
 ROUNDS = 4
 #: Share of a term's uses that must be of one subject for the term to tell it.
 PURE = 0.55
@@ -33,6 +35,7 @@ PURE = 0.55
 _SPEAKER = re.compile(r"^\s*[a-z]+\d+\s*:\s*", re.I)
 _NUMBERED = re.compile(r"^\s*\d+[.)]\s+")
 _BULLET = re.compile(r"^\s*[-*•]\s+")
+_LEAD = re.compile(r"^[ \t]*(?:[a-z]+\d+[ \t]*:[ \t]*)?(?:\d+[.)][ \t]+)?(?:[-*•][ \t]+)?", re.M)
 _END = re.compile(r"(?<=[.!?])[\s]+(?=[^\s\d])")
 _WORD = re.compile(r"[^\W_]+")
 FEATURES = 8  # of the structure and size, see structure()
@@ -50,20 +53,25 @@ def repaired(text: str) -> str:
     return text
 
 
-def plain_words(text: str) -> list[str]:
-    """Lower-case words without accents; digits are dropped."""
+def plain(text: str) -> str:
+    """Lower case, without accents and invisible characters."""
     if not text.isascii():
         s = unicodedata.normalize("NFKD", text)
         text = "".join(c for c in s if not (unicodedata.combining(c) or unicodedata.category(c) == "Cf"))
-    return [w for w in _WORD.findall(text.lower()) if not w.isdigit()]
+    return text.lower()
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """Words of each sentence; numbers, bullets and speakers at the start of lines are no words."""
+    """Words of each sentence; numbers, bullets and speakers at the start of lines are no words, nor are numbers."""
+    s = repaired(text or "")
+    if "<" in s:
+        s = re.sub(r"<[^<>]{1,80}>", " ", s)
     out = []
-    for line in re.sub(r"<[^<>]{1,80}>", " ", repaired(text or "")).splitlines():
-        line = _BULLET.sub("", _NUMBERED.sub("", _SPEAKER.sub("", line)))
-        out += [w for part in _END.split(line) if (w := plain_words(part))]
+    for line in _LEAD.sub("", plain(s)).splitlines():
+        for part in _END.split(line):
+            words = [w for w in _WORD.findall(part) if not w.isdigit()]
+            if words:
+                out.append(words)
     return out
 
 
@@ -88,16 +96,26 @@ class TermModel:
     def __init__(self, terms: list[str], weights: np.ndarray, k: int):
         self.terms = {t: i for i, t in enumerate(terms)}
         self.weights, self.k = weights, k
+        self.memo: dict[str, int] = {}
+
+    def subject(self, words: list[str]) -> int:
+        """Number of the subject that a sentence treats, or -1. Sentences recur, so they are remembered (bounded)."""
+        key = " ".join(words)
+        best = self.memo.get(key)
+        if best is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            ids = [i for t in terms_of(words) if (i := self.terms.get(t)) is not None]
+            best = self.memo[key] = int(np.argmax(self.weights[ids].sum(0))) if ids else -1
+        return best
 
     def counts(self, text: str | None) -> tuple[np.ndarray, int]:
         """Sentences by subject, and of all sentences the number."""
         n = np.zeros(self.k)
         told = sentences(text)
-        get = self.terms.get
         for words in told:
-            ids = [i for t in terms_of(words) if (i := get(t)) is not None]
-            if ids:
-                n[int(np.argmax(self.weights[ids].sum(0)))] += 1
+            if (best := self.subject(words)) >= 0:
+                n[best] += 1
         return n, len(told)
 
 
