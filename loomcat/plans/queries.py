@@ -11,7 +11,7 @@ from loomcat.functions import measures, text, tokens
 from loomcat.operators import documents as docs, entity, extract, families, graph, induce, ingest, ledger, propagate, search, setjoin, verify
 from loomcat.operators.numbering import numbered
 from loomcat.plans.compile import compile_catalogue, leaves, vocabulary
-from loomcat.session import keyed, table
+from loomcat.session import keyed, settled, stored, table
 from loomcat.sources import catalogue as files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,12 +300,15 @@ def name_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.expr("substring(node, 2)").alias("node"), F.expr("substring(component, 2)").alias("component"))
 
 
+def _item_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = records(spark, sf_dir)
+    return stored(items.select("row_id", tokens.content_words(tokens.tokens(text.clean(F.col("description")))).alias("words")))
+
+
 @query()
 def item_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scopes of items that share three words, with their rows."""
-    items = records(spark, sf_dir)
-    toks = items.select("row_id", tokens.content_words(tokens.tokens(text.clean(F.col("description")))).alias("words"))
-    return induce.scopes(toks).groupBy("scope").agg(F.count("*").alias("rows"))
+    return induce.scopes(_item_words(spark, sf_dir)).groupBy("scope").agg(F.count("*").alias("rows"))
 
 
 _CAND = f"{_WORDS}, s AS (SELECT p_partkey AS row_id, p_size % 10 AS scope FROM part), z AS (SELECT scope, count(*) AS size FROM s GROUP BY 1 HAVING count(*) >= 6), c AS (SELECT scope, word, count(*) AS support FROM w JOIN s USING (row_id) JOIN z USING (scope) GROUP BY scope, word, size HAVING count(*) >= 3 AND count(*) <= 0.8 * size)"
@@ -330,9 +333,9 @@ def word_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def induced_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Induced attributes with their values."""
-    items = _part_words(spark, sf_dir)
-    return induce.induced(items, items.select("row_id", "scope")).select("scope", F.array_join("values", "|").alias("values"), "support", "signature")
+    """Induced attributes of items with their values, by the scopes of items."""
+    items = _item_words(spark, sf_dir)
+    return induce.induced(items, settled(induce.scopes(items))).select("scope", F.array_join("values", "|").alias("values"), "support", "signature")
 
 
 @query("""WITH x AS (SELECT p_partkey, lower(w) AS w, i FROM (SELECT p_partkey, unnest(string_split(p_type || ' ' || p_name, ' ')) AS w, generate_subscripts(string_split(p_type || ' ' || p_name, ' '), 1) AS i FROM part) WHERE length(w) > 2),
