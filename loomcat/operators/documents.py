@@ -96,6 +96,12 @@ def names_part(documents: DataFrame, key: str = "doc_id", column: str = "text",
     return documents.select(key, ((p != "") & F.contains(text.squash(F.coalesce(F.col(column), F.lit(""))), p)).alias("named"))
 
 
+def integral(documents: DataFrame, key: str = "doc_id", column: str = "text", part: str = "part_number") -> tuple[DataFrame, DataFrame]:
+    """Documents that name the part they are filed under, and those discarded because they do not."""
+    told = documents.join(names_part(documents, key, column, part).distinct(), key)
+    return told.where("named").drop("named"), told.where("not named").drop("named")
+
+
 def gate(urls: DataFrame, manufacturers: DataFrame, url: str = "url", maker: str = "manufacturer_name") -> DataFrame:
     """urls with domain, verdict and reason, decided before any request.
 

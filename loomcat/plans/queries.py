@@ -614,7 +614,17 @@ a AS (SELECT row_id, label, min(trim(concat_ws(' ', value, nullif(coalesce(uom,
 SELECT row_id, label, coalesce(CASE WHEN a.v IS NULL OR lower(s.value) <> lower(a.v) THEN s.value END, a.v) AS value, CASE WHEN a.v IS NULL THEN 'added' WHEN s.value IS NOT NULL AND lower(s.value) <> lower(a.v) THEN 'overruled' ELSE 'kept' END AS outcome FROM a FULL JOIN s USING (row_id, label)""")
 def enrich_overrule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against what was known."""
-    d = table(spark, sf_dir, "documents").where("part_number <> '' and part_number <> 'MISC-0000'")
+    return _enriched(spark, sf_dir, table(spark, sf_dir, "documents"))
+
+
+@query()
+def enrich_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As enrich_overrule, of documents that name their part only."""
+    return _enriched(spark, sf_dir, docs.integral(table(spark, sf_dir, "documents"))[0])
+
+
+def _enriched(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
+    d = documents.where("part_number <> '' and part_number <> 'MISC-0000'")
     of = docs.document_of(table(spark, sf_dir, "items").select("row_id", "part_number").distinct(), d)
     specs = docs.spec_block(d).join(of, "doc_id")
     whole = F.trim(F.concat_ws(" ", "value", F.nullif(F.coalesce("uom", F.lit("")), F.lit(""))))
