@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomcat import vocabulary as V
-from loomcat.functions import text
+from loomcat.functions import text, tokens
 from loomcat.session import settled, small
 
 WORD_SHARE, RATIO = 0.62, 0.86
+#: Letters of a first word that may stand for a maker, and what its score counts.
+FIRST_LETTERS, FIRST_SHARE = 3, 0.9
 #: Words of the longest alias that is looked for in descriptions.
 ALIAS_WORDS = 6
 
@@ -94,6 +96,18 @@ def alias_in_text(items: DataFrame, aliases: DataFrame, column: str = "descripti
     return best.select("row_id", alias.alias("alias"), score.alias("score"))
 
 
+def first_words(items: DataFrame, aliases: DataFrame, column: str = "description") -> DataFrame:
+    """row_id, alias, score: the best alias of a text's first token, where that is a word of three letters or more.
+
+    Each distinct word is compared once.
+    """
+    first = F.try_element_at(tokens.tokens(text.clean(F.col(column))), F.lit(1))
+    told = items.select("row_id", first.alias("t")).where((F.col("t.kind") == "word") & (F.length("t.norm") >= FIRST_LETTERS))
+    told = settled(told.select("row_id", text.norm_key(F.col("t.norm")).alias("key")).where("key <> ''"))
+    fits = best_alias(told.select("key").distinct(), aliases).where(F.col("score") >= WORD_SHARE)
+    return told.join(fits, "key").select("row_id", "alias", (FIRST_SHARE * F.col("score")).alias("score"))
+
+
 def contradictions(resolved: DataFrame, manufacturers: DataFrame) -> DataFrame:
     """row_id, manufacturer_name, brand_name, owner: the brand belongs to another maker, and the maker was not unmasked."""
     owners = manufacturers.groupBy("brand_name").agg(F.min("manufacturer_name").alias("owner"))
@@ -105,7 +119,7 @@ def resolve(items: DataFrame, manufacturers: DataFrame, distributors: DataFrame,
     """row_id, manufacturer_name, manufacturer_code, brand_name, brand_code, method, score, unmasked_from of every item.
 
     mapped(part_manuf, manufacturer_name) are decisions on vendor cells and come first. Then, unless the cell names a
-    distributor: its own core, the description, the brand cells in order; else `unresolved`. A brand cell wins for the
+    distributor: its own core, an alias in the description, the description's first word, the brand cells in order; else `unresolved`. A brand cell wins for the
     brand. Null and empty cells name nothing.
     """
     aliases = settled(alias_table(manufacturers))
@@ -121,7 +135,9 @@ def resolve(items: DataFrame, manufacturers: DataFrame, distributors: DataFrame,
     out = keyed.withColumn("m_key", F.when(~F.col("masked"), F.col("core"))).join(fit("m"), "m_key", "left")
     for i, b in enumerate(("e1_brand", "unilog_brand", "dib_brand")):
         out = out.withColumn(f"b{i}_key", text.norm_key(F.col(b))).join(fit(f"b{i}"), f"b{i}_key", "left")
-    told = alias_in_text(base, aliases).select("row_id", F.col("alias").alias("d_alias"), F.col("score").alias("d_score"))
+    told = settled(alias_in_text(base, aliases))
+    silent = out.where("m_alias is null").select("row_id", "description").join(told, "row_id", "left_anti")
+    told = told.unionByName(first_words(silent, aliases)).select("row_id", F.col("alias").alias("d_alias"), F.col("score").alias("d_score"))
     out = out.join(told, "row_id", "left")
     brand = F.coalesce("b0_alias", "b1_alias", "b2_alias")
     method = (
