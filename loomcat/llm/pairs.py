@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomcat.llm.terms import TermReader
-from loomcat.session import checkpoint_dir, small
+from loomcat.session import checkpoint_dir, small, stored
 
 BASKET = "record long, terms array<string>, sign int"
 #: Pairs counted in one task before they are handed on; a bound on memory, counts stay exact.
@@ -30,25 +30,30 @@ def baskets(records: DataFrame, key: str = "row_id", words: str = "words") -> Da
     return once.dropDuplicates(["record"]).mapInArrow(_baskets, "record long, terms array<string>")
 
 
-def _pair_counter(known: list[str]):
-    """Pairs of known terms of signed baskets, summed per task; terms become numbers, pairs one number each."""
+def _pair_counter(known: list[str] | None):
+    """Pairs of known terms of signed baskets, summed per task; terms become numbers, pairs one number each.
+
+    Without a list all terms count, and each task numbers those it meets between two hand-overs.
+    """
     schema = pa.schema([("term_a", pa.string()), ("term_b", pa.string()), ("n", pa.int64())])
 
-    def emit(keys: list[np.ndarray], signs: list[np.ndarray]) -> pa.RecordBatch:
+    width = 1 << 31 if known is None else len(known)
+
+    def emit(keys: list[np.ndarray], signs: list[np.ndarray], words: list[str]) -> pa.RecordBatch:
         pairs, where = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(where, weights=np.concatenate(signs), minlength=len(pairs)).astype(np.int64)
         pairs, n = pairs[n != 0], n[n != 0]
-        names = pa.array(known, pa.string())
-        a, b = pa.array(pairs // len(known)), pa.array(pairs % len(known))
+        names = pa.array(words, pa.string())
+        a, b = pa.array(pairs // width), pa.array(pairs % width)
         return pa.RecordBatch.from_arrays([names.take(a), names.take(b), pa.array(n)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: i for i, t in enumerate(known)}
+        number = {t: i for i, t in enumerate(known or ())}
         keys, signs, held = [], [], 0
         for batch in batches:
             by_size: dict[int, tuple[list, list]] = {}
             for terms, sign in zip(batch.column("terms").to_pylist(), batch.column("sign").to_pylist(), strict=True):
-                ids = [i for t in terms if (i := number.get(t)) is not None]
+                ids = [number.setdefault(t, len(number)) for t in terms] if known is None else [i for t in terms if (i := number.get(t)) is not None]
                 if len(ids) > 1:
                     rows, s = by_size.setdefault(len(ids), ([], []))
                     rows.append(ids)
@@ -58,14 +63,16 @@ def _pair_counter(known: list[str]):
                 step = max(1, PAIRS_IN_MEMORY // len(i))
                 for at in range(0, len(m), step):
                     part = m[at : at + step]
-                    keys.append((part[:, i] * len(known) + part[:, j]).ravel())
+                    keys.append((part[:, i] * width + part[:, j]).ravel())
                     signs.append(np.repeat(np.array(s[at : at + step], dtype=np.float64), len(i)))
                     held += len(keys[-1])
                     if held >= PAIRS_IN_MEMORY:
-                        yield emit(keys, signs)
+                        yield emit(keys, signs, list(number))
                         keys, signs, held = [], [], 0
+            if known is None and held == 0:
+                number = {}
         if held:
-            yield emit(keys, signs)
+            yield emit(keys, signs, list(number))
 
     return run
 
@@ -163,3 +170,17 @@ def associated(table: PairTable, times: int = 10) -> DataFrame:
     often = (F.col("n_ab") >= table.least) & (F.col("n_ab") * table.per >= table.n)
     met = big("n_ab") * F.lit(table.n).cast("decimal(18,0)") >= big("n_a") * big("n_b") * F.lit(times).cast("decimal(2,0)")
     return table.scores().where(often & met)
+
+
+def all_pairs(held: DataFrame) -> DataFrame:
+    """term_a, term_b, n_ab, n_a, n_b, lift of every pair of terms that some basket holds, however rare; term_a < term_b.
+
+    held: record, terms, as `baskets` makes them. Pairs are summed per task and then by pair; no list of terms is broadcast.
+    """
+    kept = stored(held.where(F.size("terms") > 0).withColumn("sign", F.lit(1)))
+    n = held.count()
+    terms = stored(kept.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")))
+    met = kept.mapInArrow(_pair_counter(None), "term_a string, term_b string, n long").groupBy("term_a", "term_b").agg(F.sum("n").alias("n_ab"))
+    side = lambda x: terms.select(F.col("term").alias(f"term_{x}"), F.col("n").alias(f"n_{x}"))
+    lift = F.col("n_ab") * F.lit(float(n)) / F.col("n_a") / F.col("n_b")
+    return met.join(side("a"), "term_a").join(side("b"), "term_b").select("term_a", "term_b", "n_ab", "n_a", "n_b", lift.alias("lift"))

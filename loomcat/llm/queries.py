@@ -69,8 +69,8 @@ def _pair_table(spark: SparkSession, sf_dir: str) -> pairs.PairTable:
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and lift of every pair of the pair table."""
-    return _pair_table(spark, sf_dir).scores()
+    """Counts and lift of every pair of terms that some record holds."""
+    return pairs.all_pairs(pairs.baskets(table(spark, sf_dir, "items")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
