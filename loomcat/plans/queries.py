@@ -148,6 +148,13 @@ def account_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "items").where(F.col("part_manuf").rlike("^[ -~]*$")).select("part_manuf").distinct().withColumn("core", text.strip_account(F.col("part_manuf")))
 
 
+@query()
+def account_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """all vendor cells, whatever their letters, without what marks an account."""
+    cells = table(spark, sf_dir, "items").where("part_manuf is not null").select("part_manuf").distinct()
+    return cells.withColumn("core", text.strip_account(F.col("part_manuf")))
+
+
 @query("""WITH v AS (SELECT DISTINCT value FROM attributes WHERE regexp_full_match(value, '\\d+|\\d*\\.\\d+|\\d+/[1-9]\\d*|\\d+-\\d+/[1-9]\\d*')),
 p AS (SELECT value, CASE WHEN value LIKE '%-%' THEN split_part(value, '-', 1)::DOUBLE + split_part(split_part(value, '-', 2), '/', 1)::DOUBLE / split_part(value, '/', 2)::DOUBLE
  WHEN value LIKE '%/%' THEN split_part(value, '/', 1)::DOUBLE / split_part(value, '/', 2)::DOUBLE ELSE value::DOUBLE END AS x FROM v),
@@ -532,6 +539,14 @@ def withdrawn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.withdrawn(claims(spark, sf_dir).where("claim_ord % 50 = 1"), v, ["UPC"])
 
 
+@query()
+def cells_withdrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of all source-required columns of events without a publishable claim, by all claims."""
+    v = table(spark, sf_dir, "events").select(F.col("user_id").alias("row_id")).distinct()
+    columns = ["BRAND_NAME", "UPC", "ITEM_TYPE"]
+    return ledger.withdrawn(claims(spark, sf_dir), v.select("row_id", *[(F.col("row_id") % 9).cast("string").alias(c) for c in columns]), columns)
+
+
 @query("SELECT event_id, CASE WHEN v >= 0.85 THEN 'high' WHEN v >= 0.72 THEN 'medium' WHEN v >= 0.5 THEN 'low' ELSE 'very low' END AS band FROM (SELECT event_id, (event_id % 100) / 100.0::DOUBLE AS v FROM events)")
 def confidence_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F32: words for confidences."""
