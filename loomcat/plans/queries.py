@@ -225,6 +225,13 @@ def find_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", text.find_span(F.col("text"), F.col("part_number"))["start"].alias("start"))
 
 
+@query()
+def find_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """where each document with a text and a part number names its part."""
+    d = table(spark, sf_dir, "documents").where("part_number <> '' and instr(lower(text), lower(part_number)) > 0")
+    return d.select("doc_id", text.find_span(F.col("text"), F.col("part_number"))["start"].alias("start"))
+
+
 @query("""SELECT url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS host, count(*) AS n FROM documents WHERE url IS NOT NULL GROUP BY 1, 2""")
 def url_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hosts of documents."""

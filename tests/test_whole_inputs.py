@@ -11,3 +11,9 @@ def test_all_claims_and_vendor_cells(spark, tmp_path):
     assert got == {(1, "BRAND_NAME"), (1, "UPC"), (2, "ITEM_TYPE")}
     spark.createDataFrame([("Café Tools (4031)",), ("Acme (12)",), (None,), ("Ａｃｍｅ",)], "part_manuf string").write.parquet(f"{tmp_path}/items.parquet")
     assert {r["part_manuf"]: r["core"] for r in queries.account_cores(spark, str(tmp_path)).collect()} == {"Café Tools (4031)": "Café Tools", "Acme (12)": "Acme", "Ａｃｍｅ": "Ａｃｍｅ"}
+
+
+def test_spans_of_every_document(spark, tmp_path):
+    rows = [(1, "AB-1", "see AB-1"), (2, "AB-1", "ab-1 here"), (3, "AB-1", "nothing"), (4, "MISC-0000", "a MISC-0000"), (5, "MISC-0000", "MISC-0000"), (6, None, "x"), (7, "x", None), (8, "", "x")]
+    spark.createDataFrame(rows, "doc_id long, part_number string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["start"] for r in queries.find_spans(spark, str(tmp_path)).collect()} == {1: 4, 2: 0, 4: 2, 5: 0}
