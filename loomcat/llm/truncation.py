@@ -2,9 +2,9 @@
 
 For the last characters of a text the model compares how often texts end behind them with how often they go on. Counts
 of the contexts come from all texts: words with the word before them are counted first, and only the distinct pairs
-are spread into their prefixes. The log-odds against the end are added to the log-odds of the text's length (or of a
-cut mark), which are learned per column and feed: at a field limit lengths pile up. Both are fitted in a few rounds of
-expectation-maximisation, so that cut texts do not count as ends.
+are spread into their prefixes. The log-odds against the end, corrected by how usual the end is in its feed, must pass
+a threshold that is set per feed and length: at a field limit, in characters or bytes, the share of texts that its
+neighbours do not explain, elsewhere a share learned by expectation-maximisation, in which cut texts do not count as ends.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ SHRINK = 30.0
 ROUNDS, INNER = 2, 20
 #: Least share of cut texts taken for a length: with it, a text counts as cut where ends are rarer than about one in a hundred.
 LEAST_SHARE = 0.15
-#: Groups of contexts, by their last letters.
-GROUPS = 48
+#: Rows from which on a length can be a field limit.
+LEAST_PILE = 12
+#: The place in ORDERS[1:] at which the ends of a feed are compared with those of all, and what is added to both counts.
+OF_FEED, FEED_ENDS = 1, 3.0
+#: Distinct ends of texts in one group of contexts, and groups at least.
+IN_GROUP, GROUPS = 20_000, 48
 #: What a cut may leave: dots, a replacement character, a broken character entity.
 MARKS = r"\s*(?:\.\.+|…|�+|&[#a-zA-Z0-9]{0,6})\s*$"
 
@@ -47,16 +51,17 @@ def _tail(text: Column, n: int) -> Column:
 
 
 def prepared(records: DataFrame, key: str = "row_id", text: str = "description", feed: str = "feed") -> DataFrame:
-    """key, feed, length, spelled and context of every text that is neither null nor blank.
+    """key, feed, ending, chars, bytes, spelled and context of every text that is neither null nor blank.
 
-    length is the number of characters, followed by s if one blank ends the text; `mark` stands for any cut mark. The
-    context is the end of the last two words, with ^ for the start of the text.
+    ending is `mark` for a cut mark, `s` for blanks behind the last word, else empty; chars and bytes are the length
+    without these blanks. The context is the end of the last two words, with ^ for the start of the text.
     """
     t = F.col(text)
-    size, cut = F.length(t), F.length(F.rtrim(t))
+    bare = F.rtrim(t)
     told = records.where(F.trim(t) != "").select(
         F.col(key).alias("key"), F.coalesce(F.col(feed), F.lit("")).alias("feed"),
-        F.when(_marked(t), "mark").when(size == cut + 1, F.concat(size.cast("string"), F.lit("s"))).otherwise(cut.cast("string")).alias("length"), _spelled(t).alias("spelled"),
+        F.when(_marked(t), "mark").when(F.length(t) > F.length(bare), "s").otherwise("").alias("ending"),
+        F.length(bare).alias("chars"), F.octet_length(bare).alias("bytes"), _spelled(t).alias("spelled"),
     )
     context = _tail(F.substring_index(F.concat(F.lit("^ "), F.col("spelled")), " ", -2), ORDERS[-1])
     return told.where("spelled <> ''").withColumn("context", context)
@@ -76,16 +81,42 @@ def _positions(texts: DataFrame) -> DataFrame:
     )
 
 
-def _first_guess(ends: DataFrame) -> DataFrame:
-    """feed, length, piled, share: lengths far more frequent than those before and behind, and a share to start from."""
-    lengths = ends.groupBy("feed", "length").agg(F.sum("n").alias("rows"))
-    at = F.regexp_extract("length", r"^(\d+)", 1).try_cast("int")
-    by_feed = lengths.withColumn("at", at).withColumn("blank", F.col("length").endswith("s"))
-    w = Window.partitionBy("feed", "blank").orderBy("at")
-    before = F.coalesce(F.avg("rows").over(w.rangeBetween(-4, -1)), F.lit(0.0))
-    behind = F.coalesce(F.avg("rows").over(w.rangeBetween(1, 2)), F.lit(0.0))
-    piled = F.coalesce((F.col("length") == "mark") | ((F.col("rows") >= 12) & (F.col("rows") > 2.0 * before) & (F.col("rows") > 2.0 * behind)), F.lit(False))
-    return by_feed.select("feed", "length", piled.alias("piled"), F.when(piled, 0.6).otherwise(LEAST_SHARE).alias("share"))
+def _lengths(texts: DataFrame) -> DataFrame:
+    """feed, measure, ending, at, rows, piled, excess: how many texts have a length, and how many more than its neighbours let expect.
+
+    What is expected at a length goes on from the six lengths before it. A length is piled if it holds more than twice
+    that, and more than twice the lengths behind it.
+    """
+    counted = settled(texts.groupBy("feed", "ending", "chars", "bytes").agg(F.count("*").alias("n")))
+    both = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("at")) for m in ("chars", "bytes"))))
+    at = F.when(F.col("ending") == "mark", 0).otherwise(F.col("m.at")).alias("at")
+    lengths = counted.select("feed", "ending", "n", both.alias("m")).select("feed", "m.measure", "ending", at, "n").groupBy("feed", "measure", "ending", "at").agg(F.sum("n").alias("rows"))
+    w = Window.partitionBy("feed", "measure", "ending").orderBy("at")
+    mean = lambda a, b: F.coalesce(F.sum("rows").over(w.rangeBetween(a, b)), F.lit(0)) / (b - a + 1)
+    near, far, behind = mean(-3, -1), mean(-6, -4), mean(1, 2)
+    trend = F.pow(F.least(F.greatest((near + 1) / (far + 1), F.lit(0.4)), F.lit(1.6)), 2 / 3)
+    expected = near * trend
+    piled = (F.col("ending") != "mark") & (F.col("rows") >= LEAST_PILE) & (F.col("rows") > 2 * expected) & (F.col("rows") > 2 * near) & (F.col("rows") > 2 * behind)
+    told = lengths.select("feed", "measure", "ending", "at", "rows", piled.alias("piled"), expected.alias("expected"))
+    return told.withColumn("excess", F.when(F.col("piled"), F.col("rows") - F.col("expected")).otherwise(0.0)).drop("expected")
+
+
+def _measured(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """texts with their length as the feed's field measures it, and feed, length, piled, share, feed_ends of every length.
+
+    A feed counts in bytes if more texts pile up so than in characters. share is a length's prior share of cut texts: at
+    a field limit what exceeds the expected ones. feed_ends are the texts of the feed at other lengths.
+    """
+    lengths = settled(_lengths(texts))
+    piles = lengths.groupBy("feed").agg(*(F.sum(F.when(F.col("measure") == m, F.col("excess"))).alias(m) for m in ("chars", "bytes")))
+    measure = piles.select("feed", F.when(F.col("bytes") > F.col("chars"), "bytes").otherwise("chars").alias("measure"))
+    key = lambda at: F.when(F.col("ending") == "mark", "mark").otherwise(F.concat(at.cast("string"), F.col("ending")))
+    told = texts.join(small(measure), "feed").withColumn("length", key(F.when(F.col("measure") == "bytes", F.col("bytes")).otherwise(F.col("chars"))))
+    own = lengths.join(measure, ["feed", "measure"])
+    sure = F.least(F.greatest(F.col("excess") / F.col("rows"), F.lit(LEAST_SHARE)), F.col("rows") / (F.col("rows") + 1))
+    ends = F.sum(F.when(F.col("piled") | (F.col("ending") == "mark"), 0).otherwise(F.col("rows"))).over(Window.partitionBy("feed"))
+    shares = own.select("feed", key(F.col("at")).alias("length"), "piled", F.when(F.col("piled"), sure).otherwise(LEAST_SHARE).alias("share"), ends.alias("feed_ends"))
+    return told.select("key", "feed", "length", "spelled", "context"), settled(shares)
 
 
 def _codes(contexts: pd.Series, k: int, among: pd.Index | None = None) -> tuple[np.ndarray, pd.Index]:
@@ -97,9 +128,10 @@ def _codes(contexts: pd.Series, k: int, among: pd.Index | None = None) -> tuple[
 
 
 def _go_on(ends: pd.DataFrame, positions: pd.DataFrame) -> pd.DataFrame:
-    """How often the contexts of ends go on elsewhere, by order; all contexts of a group share their last letters."""
+    """How often the contexts of ends go on elsewhere, by order but the shortest; all contexts of a group share their last letters."""
     out = ends[["feed", "length", "context", "n"]].copy()
-    for k in ORDERS:
+    blank = ends["length"].str.endswith("s").to_numpy()
+    for k in ORDERS[1:]:
         own, names = _codes(ends["context"], k)
         there, _ = _codes(positions["context"], k, names)
         met = there >= 0
@@ -107,60 +139,90 @@ def _go_on(ends: pd.DataFrame, positions: pd.DataFrame) -> pd.DataFrame:
         inside = np.bincount(there[met], positions["inside"].to_numpy()[met], len(names))
         whole = np.bincount(there[met], positions["at_word_end"].to_numpy()[met], len(names))
         stop = np.bincount(own, ends["n"], len(names))
-        out[f"on{k}"] = (inside + 2.0 * np.maximum(whole - stop, 0))[own]
+        further = np.maximum(whole - stop, 0)
+        # a text with blanks behind its last word was cut behind a word, if at all
+        out[f"on{k}"] = np.where(blank, further[own], (inside + 2.0 * further)[own])
     return out
 
 
-def _judge(start: float):
-    """Expectation-maximisation within a group of contexts, for given shares of the lengths."""
+def _shortest(ends: DataFrame, positions: DataFrame, shares: DataFrame) -> DataFrame:
+    """last, stop, inside, further: ends and continuations of the shortest contexts. Ends at field limits and cut marks are none."""
+    last = _tail(F.col("context"), ORDERS[0]).alias("last")
+    known = ends.join(small(shares), ["feed", "length"])
+    stops = known.groupBy(last).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("piled") | (F.col("length") == "mark"), 0).otherwise(F.col("n"))).alias("stop"))
+    on = positions.groupBy(last).agg(F.sum("inside").alias("inside"), F.sum("at_word_end").alias("whole"))
+    further = F.greatest(F.coalesce("whole", F.lit(0)) - F.col("all"), F.lit(0))
+    return stops.join(on, "last", "left").select("last", F.col("stop").cast("double").alias("stop"), F.coalesce("inside", F.lit(0)).cast("double").alias("inside"), further.cast("double").alias("further"))
+
+
+def _judge(rates: tuple[float, float], all_ends: float):
+    """Expectation-maximisation within a group of contexts, for given shares of the lengths.
+
+    rates: texts by letters, and by words. all_ends: texts that do not end at a field limit.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        codes = [_codes(group["context"], k)[0] for k in ORDERS]
-        on = [group[f"on{k}"].to_numpy(float) for k in ORDERS]
+        codes = [_codes(group["context"], k)[0] for k in ORDERS[1:]]
+        on = [group[f"on{k}"].to_numpy(float) for k in ORDERS[1:]]
         n = group["n"].to_numpy(float)
         marked = (group["length"] == "mark").to_numpy()
         prior = np.log(group["share"].to_numpy(float) / (1 - group["share"].to_numpy(float)))
         piled = group["piled"].to_numpy(bool)
-        cut = np.where(piled, 1.0, 0.0)
+        blank = group["length"].str.endswith("s").to_numpy()
+        start = np.where(blank, rates[1], rates[0])
+        stop, inside, further = (group[c].to_numpy(float) for c in ("stop", "inside", "further"))
+        short = (stop + BACK_OFF * start) / (stop + np.where(blank, further, inside + 2.0 * further) + BACK_OFF)
+        usual = group["feed_ends"].to_numpy(float) / max(all_ends, 1.0)
+        near = codes[OF_FEED]
+        own = pd.factorize(pd.MultiIndex.from_arrays([group["feed"], near]))[0]
+        cut = np.where(piled | marked, 1.0, 0.0)
         for _ in range(INNER):
-            p = start
+            # a text is judged by the ends of other texts; at a field limit none is sure to be an end
+            whole = np.where(piled | marked, 0.0, 1 - cut)
+            p = short
             for c, go in zip(codes, on, strict=True):
-                # a text is judged by the ends of other texts; at a field limit none is sure to be an end
-                whole = np.where(piled, 0.0, 1 - cut)
                 stop = np.maximum(np.bincount(c, n * whole)[c] - whole, 0)
                 p = (stop + BACK_OFF * p) / (stop + go + BACK_OFF)
             p = np.clip(p, 1e-6, 1 - 1e-6)
-            against = np.log((1 - p) / p) - np.log((1 - start) / start)
+            # how much rarer or more usual these ends are in the feed than elsewhere
+            here = np.maximum(np.bincount(own, n * whole)[own] - whole, 0)
+            usually = np.maximum(np.bincount(near, n * whole)[near] - whole, 0) * usual
+            against = np.log((1 - p) / p) - np.log((1 - start) / start) - np.log((here + FEED_ENDS) / (usually + FEED_ENDS))
             cut = np.where(marked, 1.0, 1 / (1 + np.exp(-np.clip(against + prior, -40, 40))))
         return group[["feed", "length", "context", "n"]].assign(cut=cut)
 
     return run
 
 
-def cut_ends(texts: DataFrame) -> DataFrame:
+def cut_ends(texts: DataFrame, shares: DataFrame) -> DataFrame:
     """feed, length, context, n, cut: the probability that a text with these lost its end.
 
-    Contexts are worked on in groups by their last letters, so that the counts of all orders meet in one group; a group
-    holds distinct contexts by feed and length, not texts.
+    The shortest contexts, few, are counted over all. The longer ones are worked on in groups by their last letters, so
+    that the counts of all their orders meet in one group; a group holds distinct contexts by feed and length, not texts,
+    and the number of groups follows from theirs.
     """
     ends = settled(texts.groupBy("feed", "length", "context").agg(F.count("*").alias("n")))
-    positions = _positions(texts)
-    bucket = F.pmod(F.xxhash64(F.substring("context", -ORDERS[0], ORDERS[0])), F.lit(GROUPS)).alias("bucket")
+    positions = settled(_positions(texts))
+    groups = max(GROUPS, ends.count() // IN_GROUP)
+    bucket = F.pmod(F.xxhash64(_tail(F.col("context"), ORDERS[1])), F.lit(groups)).alias("bucket")
     columns = "feed string, length string, context string, n long"
     met = ends.select("*", bucket).groupBy("bucket").cogroup(positions.select("*", bucket).groupBy("bucket"))
-    known = settled(met.applyInPandas(_go_on, f"{columns}, " + ", ".join(f"on{k} double" for k in ORDERS)))
-    letters = texts.agg(F.sum(F.length("spelled") + 1), F.count("*")).first()
-    start = (letters[1] or 0) / max((letters[0] or 0) + (letters[1] or 0), 1)
-    shares, judged = _first_guess(ends), None
+    told = met.applyInPandas(_go_on, f"{columns}, " + ", ".join(f"on{k} double" for k in ORDERS[1:]))
+    known = settled(told.withColumn("last", _tail(F.col("context"), ORDERS[0])).join(small(settled(_shortest(ends, positions, shares))), "last").drop("last"))
+    letters = texts.agg(F.sum(F.length("spelled") + 1), F.count("*"), F.sum(F.size(F.split("spelled", " ")))).first()
+    rates = tuple((letters[1] or 0) / max((of or 0) + (letters[1] or 0), 1) for of in (letters[0], letters[2]))
+    all_ends = shares.dropDuplicates(["feed"]).agg(F.sum("feed_ends")).first()[0] or 0
+    first, judged = shares, None
     for _ in range(ROUNDS):
         told = known.join(small(shares), ["feed", "length"])
-        judged = settled(told.select("*", bucket).groupBy("bucket").applyInPandas(_judge(start), f"{columns}, cut double"))
+        judged = settled(told.select("*", bucket).groupBy("bucket").applyInPandas(_judge(rates, all_ends), f"{columns}, cut double"))
         met = judged.groupBy("feed", "length").agg(F.sum(F.col("n") * F.col("cut")).alias("cuts"), F.sum("n").alias("rows"))
-        met = met.join(_first_guess(ends).drop("share"), ["feed", "length"])
-        base = met.withColumn("cuts", F.when(~F.col("piled"), F.col("cuts"))).withColumn("base", F.sum("cuts").over(Window.partitionBy("feed")) / F.sum(F.when(~F.col("piled"), F.col("rows"))).over(Window.partitionBy("feed")))
-        real = met.join(base.select("feed", "length", "base"), ["feed", "length"])
-        share = (F.col("cuts") + SHRINK * F.coalesce("base", F.lit(0.03))) / (F.col("rows") + SHRINK)
-        shares = real.select("feed", "length", "piled", F.least(F.greatest(share, F.lit(LEAST_SHARE)), F.lit(0.98)).alias("share"))
+        met = met.join(first, ["feed", "length"]).withColumn("plain", ~F.col("piled"))
+        w = Window.partitionBy("feed")
+        base = F.sum(F.when(F.col("plain"), F.col("cuts"))).over(w) / F.sum(F.when(F.col("plain"), F.col("rows"))).over(w)
+        drawn = (F.col("cuts") + SHRINK * F.coalesce(base, F.lit(0.03))) / (F.col("rows") + SHRINK)
+        learned = F.least(F.greatest(drawn, F.lit(LEAST_SHARE)), F.lit(0.98))
+        shares = met.select("feed", "length", "piled", F.when(F.col("piled"), F.col("share")).otherwise(learned).alias("share"), "feed_ends")
     return judged
 
 
@@ -169,8 +231,8 @@ def cut_records(records: DataFrame, key: str = "row_id", text: str = "descriptio
 
     A record sent again is one case; an empty table gives no rows; extra columns are ignored.
     """
-    texts = stored(prepared(records, key, text, feed))
-    hits = cut_ends(texts).where(F.col("cut") > above).select("feed", "length", "context")
+    texts, shares = _measured(stored(prepared(records, key, text, feed)))
+    hits = cut_ends(texts, shares).where(F.col("cut") > above).select("feed", "length", "context")
     found = texts.select("key", "feed", "length", "context").join(small(hits), ["feed", "length", "context"], "left_semi")
     return found.select(F.col("key").alias(key), "feed").dropDuplicates([key])
 

@@ -40,3 +40,21 @@ def test_shares_and_empty(spark):
     got = {r["feed"]: r for r in truncation.cut_shares(df).collect()}
     assert got["tight"]["share"] > got["wide"]["share"] and got["wide"]["records"] == 200
     assert truncation.cut_records(df.limit(0)).count() == 0 and truncation.cut_shares(df.limit(0)).count() == 0
+
+
+def test_limits_in_bytes_blanks_and_padding(spark):
+    rng, rows, cut = random.Random(5), [], set()
+    words = ["Façade", "Décor", "Panel", "Bracket", "Lag", "Screw", "Señal", "Copper", "Hinge", "Valve"]
+    for i in range(6000):
+        t = " ".join(rng.choices(words, k=rng.randint(3, 9))) + rng.choice([" Pkg", " EA", " 10/pk"])
+        feed = ("bytes", "padded", "free")[i % 3]
+        if feed == "bytes" and len(t.encode()) > 44:
+            t = t.encode()[:44].decode(errors="ignore")
+            cut.add(i)
+        if feed == "padded":
+            cut |= {i} if len(t) > 40 else set()
+            t = t[:40].ljust(40) if i % 2 else t[:40]
+        rows.append((i, t, feed))
+    got = {r["row_id"] for r in truncation.cut_records(spark.createDataFrame(rows, "row_id long, description string, feed string")).collect()}
+    hit = len(got & cut)
+    assert hit / len(got) > 0.93 and hit / len(cut) > 0.9
