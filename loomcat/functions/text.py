@@ -16,12 +16,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-_HOLE = r"^\s*(?:|nan|nat|" + "|".join(V.PLACEHOLDERS) + r")\s*$"
+#: What placeholders look like in lower case.
+HOLE = "|".join([r"^\s*(?:|nan|nat)\s*$", *V.PLACEHOLDERS])
 
 
 def is_placeholder(c: Column) -> Column:
     """True for null, blank, nan, nat and the placeholder patterns, whatever their case."""
-    return c.isNull() | F.lower(c).rlike(_HOLE)
+    return c.isNull() | F.lower(c).rlike(HOLE)
 
 
 def collapse(c: Column) -> Column:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomcat import vocabulary as V
 from loomcat.functions import measures, text, tokens
 from loomcat.operators import documents as docs, entity, extract, families, graph, induce, ingest, ledger, propagate, search, setjoin, verify
 from loomcat.operators.numbering import numbered
 from loomcat.plans.compile import compile_catalogue, leaves, vocabulary
-from loomcat.session import keyed, settled, stored, table
+from loomcat.session import keyed, settled, small, stored, table
 from loomcat.sources import catalogue as files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +57,8 @@ CAT = f"""cat AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_id, '
  CASE WHEN (row_number() OVER (ORDER BY p_partkey) - 1) % 5 = 0 THEN '{DISTRIBUTOR}' ELSE coalesce(s_name, '') END AS part_manuf
  FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS sk FROM lineitem GROUP BY 1) ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = sk)"""
 REC = "rec AS (SELECT row_id, any_value(part_number) AS part_number, any_value(description) AS description, any_value(e1_brand) AS e1_brand, any_value(unilog_brand) AS unilog_brand, any_value(dib_brand) AS dib_brand, any_value(part_manuf) AS part_manuf, any_value(feed) AS feed FROM items GROUP BY row_id)"
-HOLE = lambda c: f"({c} IS NULL OR lower(trim({c})) IN ('', 'nan', 'nat') OR regexp_full_match(lower(trim({c})), '{'|'.join(V.PLACEHOLDERS)}'))"
+_PLAIN = r"--\s*unbranded\s*--|--\s*no\s+(?:(?:unilog|dib)\s+)?brand\s*--|--+|n/?a|none|null|unknown|tbd|\.+|0"
+HOLE = lambda c: f"({c} IS NULL OR regexp_full_match(lower({c}), '\\s*(?:|nan|nat|{_PLAIN})\\s*'))"
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +139,7 @@ def norm_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "items").where("part_manuf is not null").select("part_manuf").distinct().withColumn("key", text.norm_key(F.col("part_manuf")))
 
 
-_ACC = ", ".join(f"'{w}'" for w in V.ACCOUNT_WORDS)
+_ACC = "'accessory', 'accessories', 'acct', 'account', 'vendor', 'div', 'division', 'dist', 'direct', 'program', 'line'"
 
 
 @query(f"""SELECT part_manuf, regexp_replace(array_to_string([w FOR w IN string_split_regex(regexp_replace(part_manuf, '\\s*\\(\\d{{2,6}}\\)\\s*$', ''), '\\s+')
@@ -417,7 +418,7 @@ def brand_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity.contradictions(table(spark, sf_dir, "resolutions"), table(spark, sf_dir, "manufacturers"))
 
 
-@query(f"SELECT part_manuf, ({' OR '.join(f'contains(lower(part_manuf), {w!r})' for w in V.DISTRIBUTOR_WORDS)}) OR part_manuf IN (SELECT name FROM distributors) AS distributor FROM items WHERE part_manuf IS NOT NULL GROUP BY 1")
+@query("""SELECT part_manuf, regexp_matches(lower(part_manuf), 'industrial supply|supply (?:co|partners)|cooperative|co-op|buying group|distribut(?:ors|ing|ion)|wholesale|warehouse|trading co|sourcing|mro|alliance|affiliated|group inc|imports|winsupply|supplyforce|netplus') OR part_manuf IN (SELECT name FROM distributors) AS distributor FROM items WHERE part_manuf IS NOT NULL GROUP BY 1""")
 def distributor_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: vendor cells that name a distributor."""
     d = table(spark, sf_dir, "distributors")
@@ -449,17 +450,37 @@ def label_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels moved onto a category's own words, by a map of the distinct labels."""
     own = ["Material Construction", "Colour", "Voltage", "Amperage", "Overall Length"]
     a = table(spark, sf_dir, "attributes").select("attr_id", "label").distinct()
-    known = [(r[0], extract.align_label(r[0], own)) for r in a.select("label").distinct().limit(5000).collect() if r[0]]
-    return a.join(F.broadcast(spark.createDataFrame(known, "label string, aligned string")), "label", "left").select("attr_id", F.coalesce("aligned", "label").alias("label"))
+    labels = a.select("label").distinct().select("label", extract.align_label(F.col("label"), F.array(*map(F.lit, own))).alias("aligned"))
+    return a.join(small(labels), "label", "left").select("attr_id", F.coalesce("aligned", "label").alias("label"))
 
 
 @query()
 def item_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes folded from the descriptions of all items."""
-    items = ingest.cleaned(records(spark, sf_dir))
+    items = stored(ingest.cleaned(records(spark, sf_dir)).select("row_id", "description", "tokens"))
     return extract.attributes(items, extract.classify(items, leaves(spark)), table(spark, sf_dir, "units"))
 
 
+_SEQ = ["Body Material", "Colour", "Voltage", "Overall Length", "Amperage"]
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT DISTINCT attr_id, row_id, ord, label, value, locator, uom FROM attributes),
+b AS (SELECT *, CASE lower(label) WHEN 'material' THEN 'Body Material' WHEN 'color' THEN 'Colour' WHEN 'length' THEN 'Overall Length' WHEN 'voltage rating' THEN 'Voltage' WHEN 'current rating' THEN 'Amperage'
+ WHEN 'colour' THEN 'Colour' WHEN 'voltage' THEN 'Voltage' WHEN 'amperage' THEN 'Amperage' WHEN 'overall length' THEN 'Overall Length' ELSE label END AS l FROM a WHERE label <> '' AND trim(value) <> ''),
+c AS (SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY ord, label, value, uom, attr_id) AS i, l, coalesce(locator, 'none' || attr_id) AS loc, value FROM b),
+r(row_id, i, ls, locs, vals) AS (SELECT DISTINCT row_id, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[] FROM c UNION ALL
+ SELECT r.row_id, r.i + 1, CASE WHEN k THEN list_append(ls, l) ELSE ls END, CASE WHEN k THEN list_append(locs, loc) ELSE locs END, CASE WHEN k THEN list_append(vals, trim(value)) ELSE vals END
+ FROM r JOIN (SELECT * FROM c) c ON c.row_id = r.row_id AND c.i = r.i + 1, LATERAL (SELECT NOT list_contains(ls, l) AND NOT list_contains(locs, loc) AS k)),
+f AS (SELECT row_id, max_by(ls, i) AS ls, max_by(vals, i) AS vals FROM r GROUP BY 1)
+SELECT row_id, unnest(ls) AS label, unnest(vals) AS value, (unnest(range(len(ls))))::INT AS ord FROM f""")
+def attribute_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of items folded in their order: each label, aligned with a category's words, and each span once."""
+    a = table(spark, sf_dir, "attributes").select("attr_id", "row_id", "ord", "label", "value", "uom", "kind", "rule", "locator").distinct()
+    w = Window.partitionBy("row_id").orderBy("ord", "label", "value", "uom", "attr_id")
+    seq = a.select("row_id").distinct().withColumn("sequence", F.array(*map(F.lit, _SEQ)))
+    return extract.folded(a.withColumn("at", F.row_number().over(w)), seq).select("row_id", "label", "value", "ord")
+
+
 # -- propagation ---------------------------------------------------------------------------------------------------
 
 _PROP = """g AS (SELECT r.row_id, manufacturer_name, feed AS leaf FROM resolutions r JOIN (SELECT row_id, any_value(feed) AS feed FROM items GROUP BY 1) USING (row_id) WHERE manufacturer_name <> ''),
@@ -607,7 +628,7 @@ def doc_names_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HOST = "regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '')"
 _GATE = f"""u AS (SELECT DISTINCT url, brand AS maker, {_HOST} AS dom FROM documents), b AS (SELECT *, list_last(string_split('.' || regexp_replace(dom, '\\.[^.]*$', ''), '.')) AS base, left(regexp_replace(lower(coalesce(maker, '')), '[^a-z0-9]', '', 'g'), 6) AS mk FROM u),
-ow AS (SELECT brand_name AS maker, list(DISTINCT lower(domain)) AS o FROM manufacturers GROUP BY 1), g AS (SELECT url, b.maker, dom AS domain, CASE WHEN dom = '' THEN 'unparseable URL' WHEN {' OR '.join(f"contains(base, '{w}')" for w in V.EXCLUDED_HOST_WORDS)} THEN 'host name of a reseller'
+ow AS (SELECT brand_name AS maker, list(DISTINCT lower(domain)) AS o FROM manufacturers GROUP BY 1), g AS (SELECT url, b.maker, dom AS domain, CASE WHEN dom = '' THEN 'unparseable URL' WHEN regexp_matches(base, 'suppl(?:y|ies)|depot|warehouse|wholesale|distribut|marketplace|shop|store|buy|deals|surplus|liquidat') THEN 'host name of a reseller'
  WHEN len([x FOR x IN coalesce(o, []) IF x = dom OR ends_with(dom, '.' || x) OR ends_with(x, '.' || dom)]) > 0 THEN 'host of the maker' WHEN mk <> '' AND contains(regexp_replace(dom, '[^a-z0-9]', '', 'g'), mk) THEN 'host carries the maker''s name' ELSE 'not established as a source' END AS reason FROM b LEFT JOIN ow USING (maker))"""
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows up to which a side whose size follows from a fixed table may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows of the largest vocabulary that the driver reads.
+VOCABULARY_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +62,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def fixed_rows(df: DataFrame, limit: int = VOCABULARY_ROWS) -> list:
+    """All rows of a fixed vocabulary in the driver. A table that outgrows the limit is no vocabulary: an error, never a part of it."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows where a fixed vocabulary is expected")
+    return rows
+
+
 def fingerprint(columns: list[str]):
     """A 64-bit hash of some columns, for salting."""
     return F.xxhash64(*columns)

@@ -1,13 +1,13 @@
 """Operators against plain models on small fixtures, with nulls, empty tables, ties and repeats."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomcat import vocabulary as V
 from loomcat.functions import tokens
-from loomcat.functions.measures import Units
 from loomcat.operators import documents as docs, entity, extract, families, graph, induce, ingest, ledger, propagate, search, setjoin, verify
 from loomcat.operators.numbering import numbered
 
@@ -114,24 +114,76 @@ def test_entities(spark):
     assert {r["row_id"]: r["method"] for r in entity.resolve(items, makers, distributors, mapped).collect()}[8] == "reviewer-mapped"
 
 
-def test_extraction_fold():
-    book = Units.of([("Length", "in", ["inch"]), ("Pressure", "psi", []), ("Voltage", "V", [])])
-    fold = extract.Fold(7, ["Diameter", "Thickness", "Arbor Size", "Package Quantity", "Body Material"], book)
-    import re
-
-    master = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p) in enumerate(V.TOKEN_KINDS)))
-    s = 'Milw 5"x.045"x7/8" BRS Disc 120V 120V 25/bx dko'
-    toks = []
-    for m in master.finditer(s):
-        kind = next(V.TOKEN_KINDS[int(g[1:])][0] for g, v in m.groupdict().items() if v is not None)
-        t = m[0].rstrip()
-        toks.append({"text": t, "start": m.start(), "end": m.start() + len(t), "kind": kind, "norm": t.lower(), "is_measure": kind in V.MEASURE_KINDS})
-    fold.measures(toks)
-    fold.pack(s)
-    fold.short_words(toks)
-    got = {r[1]: (r[2], r[3]) for r in fold.rows}
-    assert got == {"Diameter": ("5", "in"), "Thickness": (".045", "in"), "Arbor Size": ("7/8", "in"), "Voltage": ("120", "V"), "Package Quantity": ("25", "pc"), "Body Material": ("Brass", "")}
-    assert len({r[6] for r in fold.rows}) == len(fold.rows)
+UNITS = [("Length", "in", ["inch", '"', "''"]), ("Pressure", "psi", []), ("Voltage", "V", []), ("Count", "pc", []), ("Weight", "lb", ["lbs"])]
+
+
+def _items(spark, texts):
+    cells = [(i, t, *[""] * 5) for i, t in enumerate(texts)]
+    return ingest.cleaned(spark.createDataFrame(cells, "row_id long, description string, part_number string, e1_brand string, unilog_brand string, dib_brand string, part_manuf string"))
+
+
+def test_extraction(spark):
+    units = spark.createDataFrame(UNITS, "measurement_type string, canonical string, aliases array<string>")
+    texts = ['Milw 5"x.045"x7/8" BRS Disc 120V 120V 25/bx dko', None, "", "nan", "plain words only", "16 X 25 X 1 filter 3 furlongs 2 lb", "Rod 2.5 x 7 blk wht", "9.5/8.25/1.75/4.125 in 5 psi"]
+    items = _items(spark, texts)
+    sequence = ["Diameter", "Thickness", "Arbor Size", "Package Quantity", "Body Material"]
+    cats = items.select("row_id", F.array(*map(F.lit, sequence)).alias("sequence"))
+    rows = extract.attributes(items, cats, units).collect()
+    of = lambda i: {r["label"]: (r["value"], r["uom"]) for r in rows if r["row_id"] == i}
+    assert of(0) == {"Diameter": ("5", "in"), "Thickness": (".045", "in"), "Arbor Size": ("7/8", "in"), "Voltage": ("120", "V"), "Package Quantity": ("25", "pc"), "Body Material": ("Brass", "")}
+    assert not of(1) and not of(2) and not of(3) and not of(4)
+    # only tokens that carry their unit are measures with one; two colours are one label
+    assert of(5)["Nominal Size"] == ("16 x 25 x 1", "") and of(6) == {"Diameter": ("2-1/2", "in"), "Colour": ("Black", "")}
+    for i in {r["row_id"] for r in rows}:
+        mine = sorted((r for r in rows if r["row_id"] == i), key=lambda r: r["ord"])
+        assert [r["ord"] for r in mine] == list(range(len(mine))) and len({r["locator"] for r in mine}) == len(mine) == len({r["label"] for r in mine})
+        for r in mine:  # locators point at what they say, in code points
+            at, end = map(int, re.search(r"#char\[(\d+):(\d+)\]$", r["locator"]).groups())
+            assert 0 <= at < end <= len(texts[i])
+            assert r["sequence"] == (sequence.index(r["label"]) if r["label"] in sequence else 900 + r["ord"])
+
+
+def test_extraction_slots_and_alternatives(spark):
+    units = spark.createDataFrame(UNITS, "measurement_type string, canonical string, aliases array<string>")
+    items = _items(spark, ["Disc P80 150psi red", "Disc P120 150psi blue"])
+    cats = items.select("row_id", F.array(F.lit("Grit")).alias("sequence"))
+    slots = spark.createDataFrame([("f", 1, "Grit", True), ("f", 2, None, False), ("f", 9, "Length", True)], "family_id string, slot int, label string, is_axis boolean")
+    members = spark.createDataFrame([("f", 0), ("f", 1)], "family_id string, row_id long")
+    induced = spark.createDataFrame([(0, "Shade", ["blue", "red"]), (1, "Shade", ["blue", "red"]), (1, None, ["disc"])], "row_id long, label string, values array<string>")
+    got = {(r["row_id"], r["label"]): (r["value"], r["uom"], r["kind"]) for r in extract.attributes(items, cats, units, slots, members, induced).collect()}
+    assert got == {
+        (0, "Grit"): ("P80", "", "derived"), (1, "Grit"): ("P120", "", "derived"), (0, "Pressure Rating"): ("150", "psi", "supplier"), (1, "Pressure Rating"): ("150", "psi", "supplier"),
+        (0, "Shade"): ("red", "", "derived"), (1, "Shade"): ("blue", "", "derived"),
+    }
+
+
+def test_fold_against_brute_force(spark):
+    rng = random.Random(4)
+    labels, seq = ["A", "B", "Material", "Body Material", "Color", None, ""], ["Body Material", "B", "Colour"]
+    rows = [(i, j, rng.choice(labels), rng.choice(["x", " y ", "", None]), "", "k", "r", rng.choice([None, *[f"row:{i}:d#char[{n}:{n + 1}]" for n in range(4)]])) for i in range(80) for j in range(rng.randint(0, 9))]
+    want = []
+    for i in range(80):
+        kept = []
+        for _, _, label, value, uom, kind, rule, loc in [r for r in rows if r[0] == i]:
+            label = {"Material": "Body Material", "Color": "Colour"}.get(label, label)
+            if label and (value or "").strip() and all(k[0] != label and (loc is None or k[2] != loc) for k in kept):
+                kept.append((label, value.strip(), loc))
+        want += [(i, *k, seq.index(k[0]) if k[0] in seq else 900 + n, n) for n, k in enumerate(kept)]
+    df = spark.createDataFrame(rows, "row_id long, at int, label string, value string, uom string, kind string, rule string, locator string")
+    got = extract.folded(df, spark.range(80).select(F.col("id").alias("row_id"), F.array(*map(F.lit, seq)).alias("sequence")))
+    key = lambda r: (r[0], r[5])
+    assert sorted([(r["row_id"], r["label"], r["value"], r["locator"], r["sequence"], r["ord"]) for r in got.collect()], key=key) == sorted(want, key=key)
+    assert extract.folded(df.limit(0), spark.range(3).select(F.col("id").alias("row_id"), F.array(F.lit("B")).alias("sequence"))).count() == 0
+
+
+def test_classify(spark):
+    tree = spark.createDataFrame([(0, "P>a", "a valves", ["valve"], ["X"]), (1, "P>b", "long", ["one two three four five six seven", "Ball Valve"], ["Y"]), (2, "P>c", "c", None, ["Z"])], "ord int, classpath string, leaf string, keywords array<string>, sequence array<string>")
+    items = _items(spark, ["Ball-Valve 3in", "my valve", "ballvalve", "x one two three four five six seven", "valves only", None, "gizmo", "z" * 50_000 + " valve"])
+    got = {r["row_id"]: r["keyword"] for r in extract.classify(items, tree).collect()}
+    assert got == {0: "Ball Valve", 1: "valve", 2: "Ball Valve", 3: "one two three four five six seven", 4: "valve", 5: None, 6: None, 7: "valve"}
+    mapped = spark.createDataFrame([("Gizmo", "P>c")], "item_type string, classpath string")
+    assert {r["row_id"]: r["keyword"] for r in extract.classify(items, tree, mapped).collect()}[6] == "(mapped)"
+    assert extract.classify(items, tree.limit(0)).where("classified").count() == 0
 
 
 def test_propagation(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomcat import vocabulary as V
 from loomcat.functions import text, tokens
-from loomcat.functions.measures import Units, trade_number
+from loomcat.functions.measures import Units, parse_measure, trade_number
 
 
 def test_tokens_match_a_model(spark):
@@ -89,7 +89,16 @@ def test_title_and_invoice(spark):
 
 def test_units_of_texts():
     book = Units.of([("Length", "in", ["inch", "inches", '"']), ("Weight", "lb", ["lbs", "pound"]), ("Pressure", "psi", [])])
-    assert book.parse('5"') == ("5", "in") and book.parse("4.5 inches") == ("4-1/2", "in") and book.parse("5 furlongs") is None and book.parse("5") == ("5", None)
     assert book.normal("24inch x 0.5 pound") == "24 in x 1/2 lb" and book.canonical("#") is None
     assert book.bad_spellings("5 pound bag", []) == ["pound"] and book.bad_spellings("5 pound bag", ["5 pound"]) == []
     assert book.glued("24in and 3M", []) == ["24in"]
+    assert book.normal("1 - 1/2 inches and 3 furlongs, 2lbs.") == "1-1/2 in and 3 furlongs, 2 lb." and book.normal(None) == "" and book.normal('4" x 6"') == "4 in x 6 in"
+    assert book.glued("5inch 6in2 7in-lb x8in 9 in", []) == ["5inch"] and book.glued("PVC017398in", ["017398in"]) == []
+    assert book.bad_spellings("5 POUND, 6 lbs, 7 inch with 8 in", [], True) == ["POUND", "inch", "lbs"]
+
+
+def test_parsed_measures(spark):
+    book = Units.of([("Length", "in", ["inch", "inches", '"'])])
+    df = spark.createDataFrame([('5"',), ("4.5 inches",), ("5 furlongs",), ("5",), (None,), ("",), ("1 - 1/2 in",)], "s string")
+    got = {r["s"]: (r["p"]["magnitude"], r["p"]["unit"]) if r["p"] else None for r in df.select("s", parse_measure(F.col("s"), book).alias("p")).collect()}
+    assert got == {'5"': ("5", "in"), "4.5 inches": ("4-1/2", "in"), "5 furlongs": None, "5": ("5", None), None: None, "": None, "1 - 1/2 in": ("1-1/2", "in")}
