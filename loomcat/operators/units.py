@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from loomcat.session import small
+from loomcat.session import fixed_rows, small
 
 # Spellings of units met in feeds beside the aliases of the units table, by measurement type and unit.
 MORE_ALIASES = {
@@ -55,10 +55,14 @@ _NUMBER = re.compile(
     r"|(?P<grouped>\d{1,3}(?:,\d{3})+(?:\.\d+)?)(?!\d)"
     r"|(?P<plain>\d*[.,]?\d+)"
 )
-_LEAD = re.compile(r"^(?:(?:max|min|maximum|minimum|approx|approximately|about|circa|ca|nominal|nom|up to)\b[.:]?|~|≈|±|<=?|>=?|≤|≥)\s*", re.I)
+#: Words that may stand before a number, behind it as its scale, and between two numbers of a range; none is a unit.
+LEADS = "maximum|minimum|max|min|approximately|approx|about|circa|ca|nominal|nom|up to"
+SCALES = r"[x×*]\s*10\s*\^\s*[+-]?\d+|(?:k|thousand)(?![a-z])"
+BETWEEN = "to|through"
+_LEAD = re.compile(rf"^(?:(?:{LEADS})\b[.:]?|~|≈|±|<=?|>=?|≤|≥)\s*", re.I)
 _SCALE = re.compile(r"\s*[x×*]\s*10\s*\^\s*(?P<p>[+-]?\d+)|\s*(?P<k>k|thousand)(?![a-z])")
 _SIGN = re.compile(r"\s*([-−+])?\s*")
-_RANGE = re.compile(r"\s*(?:-|–|—|to\b|\.\.\.?|through\b)\s*(?=[-−+.]?\s*[\d½¼¾⅛⅜⅝⅞⅓⅔])")
+_RANGE = re.compile(rf"\s*(?:-|–|—|\.\.\.?|(?:{BETWEEN})\b)\s*(?=[-−+.]?\s*[\d½¼¾⅛⅜⅝⅞⅓⅔])")
 
 PARSED = "attr_id long, mt string, common_uom string, n1 double, u1 string, n2 double, u2 string, scaled boolean"
 
@@ -80,6 +84,8 @@ class UnitReader:
         for form, by_type in meanings.items():
             self.automaton.add_word(form, (len(form), by_type))
         self.automaton.make_automaton()
+        #: Characters in which the longest alias ends, a joint and a dot behind it included.
+        self.reach = max(map(len, meanings), default=0) + 4
         self.memo: dict[tuple, tuple | None] = {}
 
     def unit_spans(self, s: str, mt: str) -> dict[int, tuple[int, str]]:
@@ -107,11 +113,19 @@ class UnitReader:
 
     def after(self, tail: str | None, mt: str) -> str | None:
         """The unit at the start of a text, or None."""
-        s = re.sub(r"\s+", " ", (tail or "").lower())
-        at = len(s) - len(s.lstrip())
-        hit = self.unit_spans(s, mt).get(at)
+        hit = self.unit_spans(self.near(tail), mt).get(0)
         return hit[1] if hit else None
 
+    def near(self, tail: str | None) -> str:
+        """What of the text behind a number an alias at its start can take up; how much follows from the longest alias."""
+        words, n = [], 0
+        for m in re.finditer(r"\S+", tail or ""):
+            words.append(m[0].lower())
+            n += len(m[0]) + 1
+            if n > self.reach:
+                break
+        return " ".join(words)
+
     def _number(self, s: str, at: int, units: dict, mt: str) -> tuple[float, int, bool] | None:
         sign = _SIGN.match(s, at)
         m = _NUMBER.match(s, sign.end())
@@ -142,7 +156,7 @@ class UnitReader:
 
     def read(self, mt: str, value: str, uom: str | None, tail: str | None) -> tuple | None:
         """(n1, u1, n2, u2, scaled), or None for ranges, words and numbers without a known unit."""
-        key = (mt, value, uom, tail)
+        key = (mt, value, uom, self.near(tail))
         if key not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
@@ -211,20 +225,20 @@ def common_units(attributes: DataFrame, items: DataFrame, units: DataFrame, labe
         .join(small(labels), "_label")
         .drop("_label")
     )
-    bare = F.regexp_replace(F.lower("value"), r"max|min|approx|nominal|about|thousand|k|x 10\^[0-9]+| to ", "")
-    silent = (F.trim(F.coalesce("uom", F.lit(""))) == "") & ~bare.rlike(r"[a-z\"'#°″′]") & F.col("locator").isNotNull()
-    own = measured.where(~silent).select("attr_id", "mt", "common_uom", "value", "uom", F.lit(None).cast("string").alias("tail"))
+    bare = F.regexp_replace(F.lower("value"), rf"\b(?:{LEADS}|{BETWEEN})\b|{SCALES}", "")
     span = r"^row:(\d+):description#char\[(\d+):(\d+)\]$"
-    lone = measured.where(silent & F.col("locator").rlike(span)).select(
+    silent = (F.trim(F.coalesce("uom", F.lit(""))) == "") & ~bare.rlike(r"[a-z\"'#°″′]") & F.coalesce(F.col("locator").rlike(span), F.lit(False))
+    own = measured.where(~silent).select("attr_id", "mt", "common_uom", "value", "uom", F.lit(None).cast("string").alias("tail"))
+    lone = measured.where(silent).select(
         "attr_id", "mt", "common_uom", "value", "uom",
-        F.regexp_extract("locator", span, 1).cast("long").alias("_row"), F.regexp_extract("locator", span, 3).cast("int").alias("_end"),
+        F.regexp_extract("locator", span, 1).try_cast("long").alias("_row"), F.regexp_extract("locator", span, 3).try_cast("int").alias("_end"),
     )
     texts = items.where("description is not null").select(F.col("row_id").alias("_row"), "description")
     # a record sent twice carries the same text, so its rows meet again in the final distinct
-    told = lone.join(texts, "_row").select(
-        "attr_id", "mt", "common_uom", "value", "uom", F.substring("description", F.col("_end") + 1, F.lit(40)).alias("tail")
+    told = lone.join(texts, "_row", "left").select(
+        "attr_id", "mt", "common_uom", "value", "uom", F.substring("description", F.col("_end") + 1, F.length("description")).alias("tail")
     )
-    known = [(r[0], r[1], list(r[2] or [])) for r in units.select("measurement_type", "canonical", "aliases").limit(20_000).collect()]
+    known = [(r[0], r[1], list(r[2] or [])) for r in fixed_rows(units.select("measurement_type", "canonical", "aliases"))]
     reader = own.unionByName(told).select("attr_id", "mt", "common_uom", "value", "uom", "tail")
     parsed = reader.mapInPandas(_readings(known), PARSED)
     factor = units.select("measurement_type", "canonical", "factor", "shift")

@@ -69,3 +69,13 @@ def test_whole(spark):
     assert got == {(1, "in", 24000), (3, "in", 197)}
     assert common_units(attrs.limit(0), items, units, labels).count() == 0
     assert common_units(attrs, items.limit(0), units, labels).count() == 1
+
+
+def test_words_before_numbers_and_far_units(spark):
+    values = ["maximum 5", "circa 5", "ca 5", "nom 5", "approximately 5", "up to 5", "5k", "5 to 6", "300 k", "5 x 10^2"]
+    attrs = spark.createDataFrame([(i, i, "Length", v, "", f"row:{i}:description#char[0:1]") for i, v in enumerate(values)] + [(50, 50, "Length", "5", "", "row:50:description#char[0:1]"), (51, 51, "Length", "5", "", "page 3"), (52, 99, "Length", "5 mm", "", "row:99:description#char[0:1]")], "attr_id long, row_id long, label string, value string, uom string, locator string")
+    items = spark.createDataFrame([(i, "5 mm and more") for i in range(len(values))] + [(50, "5" + " " * 300 + "millimetre   of   mercury")], "row_id long, description string")
+    units = spark.createDataFrame([("Length", "in", ["inch"], 1.0, 0.0), ("Length", "mm", ["millimetre of mercury"], 0.1, 0.0)], "measurement_type string, canonical string, aliases array<string>, factor double, shift double")
+    labels = spark.createDataFrame([("Length", "Length", "in")], "label string, measurement_type string, common_uom string")
+    got = {r["attr_id"]: r["common_milli"] for r in common_units(attrs, items, units, labels).collect()}
+    assert got == {**{i: 500 for i in range(6)}, 6: 500_000, 8: 30_000_000, 9: 50_000, 50: 500, 52: 500}
