@@ -63,8 +63,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pair_table(spark: SparkSession, sf_dir: str) -> pairs.PairTable:
+    """The items as they came: nine tenths by their time of receipt first, then the later deliveries as changes.
+
+    Records sent again are changes of the baskets already held, so both signs occur. Rows without a time come first.
+    """
+    items = table(spark, sf_dir, "items").select("row_id", "words", "received_at")
+    late = items.agg(F.percentile_approx(F.unix_micros(F.col("received_at").cast("timestamp")), 0.9)).first()[0]
+    at = F.unix_micros(F.col("received_at").cast("timestamp"))
+    is_late = F.coalesce(at > F.lit(late), F.lit(False)) if late is not None else F.lit(False)
     kept = pairs.PairTable(spark)
-    kept.apply(pairs.baskets(table(spark, sf_dir, "items")))
+    kept.apply(pairs.baskets(items.where(~is_late)))
+    kept.apply(pairs.baskets(items.where(is_late)))
     return kept
 
 
@@ -105,4 +114,20 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_terms, p2_found, p3_found, p3_shares, p4_classes, p4_found, p6_found, p5_pairs, p5_found, p7_ids, p8_found, p8_items, p9_found, p9_composition)}
-ORACLES: dict[str, str] = {}
+
+# Of compatibility forms the words have full-width ones only; these are the printable ASCII characters, 65,248 places on.
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+_TERM = f"lower(trim(translate(nfc_normalize(w), '{_WIDE[0]}', '{_WIDE[1]}'), ' 	
+ 　'))"
+_HELD = f"""rec AS (SELECT row_id, any_value(words) AS words FROM items WHERE row_id IS NOT NULL GROUP BY 1), n AS (SELECT count(*) AS n FROM rec),
+use AS (SELECT row_id, {_TERM} AS term FROM (SELECT row_id, unnest(words) AS w FROM rec) WHERE w IS NOT NULL), hold AS (SELECT row_id, term, count(*) AS k FROM use WHERE term <> '' GROUP BY 1, 2),
+t AS (SELECT term, sum(k)::BIGINT AS uses, count(*) AS records FROM hold GROUP BY 1)"""
+_MARK = "CASE WHEN records <= 2 THEN 'rare' WHEN records * 5 > n THEN 'common' END AS mark"
+_PAIRS = f"""{_HELD}, ab AS (SELECT a.term AS term_a, b.term AS term_b, count(*) AS n_ab FROM hold a JOIN hold b ON a.row_id = b.row_id AND a.term < b.term GROUP BY 1, 2),
+p AS (SELECT term_a, term_b, n_ab, a.records AS n_a, b.records AS n_b, n FROM ab JOIN t a ON a.term = term_a JOIN t b ON b.term = term_b, n)"""
+ORACLES: dict[str, str] = {
+    "p2_terms": f"WITH {_HELD} SELECT term, uses, records, {_MARK} FROM t, n",
+    "p2_found": f"WITH {_HELD} SELECT term, mark FROM (SELECT term, {_MARK} FROM t, n) WHERE mark IS NOT NULL",
+    "p5_pairs": f"WITH {_PAIRS} SELECT term_a, term_b, n_ab, n_a, n_b, n_ab * n::DOUBLE / n_a / n_b AS lift FROM p",
+    "p5_found": f"WITH {_PAIRS} SELECT term_a, term_b FROM p WHERE n_ab >= 3 AND n_ab * 1000 >= n AND n_ab * n >= 10 * n_a * n_b",
+}

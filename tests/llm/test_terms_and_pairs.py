@@ -85,3 +85,28 @@ def test_empty(spark, tmp_path, rows):
     table = pairs.PairTable(spark, str(tmp_path / "t"))
     table.apply(pairs.baskets(spark.createDataFrame(rows, "row_id long, words array<string>")))
     assert pairs.associated(table).count() == 0
+
+
+def test_table_is_opened_again_and_rewrites_what_it_touches(spark, tmp_path):
+    schema, rng = "record long, terms array<string>", random.Random(9)
+    now = {i: sorted({rng.choice("abcdefg"), rng.choice("abcdefg"), "hot"}) for i in range(400)} | {i: [] for i in range(400, 420)}
+    made = pairs.PairTable(spark, str(tmp_path / "t"), least=2, per=50, rows_per_bucket=40)
+    made.apply(spark.createDataFrame(list(now.items()), schema))
+    assert made.state["buckets"] == 11
+    first = dict(made.state["at"]["baskets"])
+    for step in range(3):
+        table = pairs.PairTable(spark, str(tmp_path / "t"))  # another process goes on where the last one stopped
+        assert (table.least, table.per, table.n) == (2, 50, len(now))
+        gone = rng.sample(sorted(now), 3) + [10_000]
+        changed = {i: ["hot", f"new{step}"] for i in [500 + step, 600 + step, sorted(now)[0]]}
+        table.apply(spark.createDataFrame(list(changed.items()), schema), spark.createDataFrame([(i,) for i in gone], "record long"))
+        now = {i: t for i, t in now.items() if i not in gone} | changed
+        want, two = _pairs(now, 2, 50, 1)
+        assert table.n == len(now) and {(r["term_a"], r["term_b"]) for r in pairs.associated(table, 1).collect()} == want
+        assert {(r["term_a"], r["term_b"]): r["n_ab"] for r in table.scores().collect() if r["n_ab"]}.items() <= two.items()
+        if not step:  # seven records at most are in seven buckets at most
+            assert sum(first[b] == table.state["at"]["baskets"].get(b) for b in first) >= 4
+    table.apply(spark.createDataFrame([], schema), spark.createDataFrame([(i,) for i in now], "record long"))
+    assert table.n == 0 and pairs.associated(table).count() == 0
+    table.drop()
+    assert pairs.PairTable(spark, str(tmp_path / "t")).n == 0
