@@ -117,8 +117,7 @@ QUERIES = {f.__name__: f for f in (p2_terms, p2_found, p3_found, p3_shares, p4_c
 
 # Of compatibility forms the words have full-width ones only; these are the printable ASCII characters, 65,248 places on.
 _WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
-_TERM = f"lower(trim(translate(nfc_normalize(w), '{_WIDE[0]}', '{_WIDE[1]}'), ' 	
- 　'))"
+_TERM = f"lower(trim(translate(nfc_normalize(w), '{_WIDE[0]}', '{_WIDE[1]}')))"
 _HELD = f"""rec AS (SELECT row_id, any_value(words) AS words FROM items WHERE row_id IS NOT NULL GROUP BY 1), n AS (SELECT count(*) AS n FROM rec),
 use AS (SELECT row_id, {_TERM} AS term FROM (SELECT row_id, unnest(words) AS w FROM rec) WHERE w IS NOT NULL), hold AS (SELECT row_id, term, count(*) AS k FROM use WHERE term <> '' GROUP BY 1, 2),
 t AS (SELECT term, sum(k)::BIGINT AS uses, count(*) AS records FROM hold GROUP BY 1)"""
