@@ -38,4 +38,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     return nodes.join(e.groupBy("u").agg(F.min("v").alias("m")), "u", "left").select(F.col("u").alias("node"), F.coalesce("m", "u").alias("component"))
