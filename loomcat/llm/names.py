@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomcat.llm.spelling import PLACEHOLDERS, edits, next_row, read_brand, read_organisation
+from loomcat.functions.text import is_placeholder
+from loomcat.llm.spelling import edits, next_row, read_brand, read_organisation, word_edits
+from loomcat.operators.graph import components
 from loomcat.operators.setjoin import similar_sets
 from loomcat.session import settled, small
 
@@ -15,27 +17,29 @@ from loomcat.session import settled, small
 EDITS = 2
 #: Segments of a name, of which EDITS edits leave one whole: a swap may touch two.
 SEGMENTS = 2 * EDITS + 1
-#: Spellings from which a proper name stands for itself and is no misspelling of another.
-ESTABLISHED = 3
+#: Letters of words up to which one edit counts only, and the least.
+SHORT, LEAST = 6, 3
+#: How many times as many spellings as a misspelling the right name has; FEW are never too many.
+RIGHT, FEW = 5, 2
 #: Keys of a shard that are compared in one block; larger shards are split into more blocks.
 BLOCK = 20_000
 
 
 def is_name(c: Column) -> Column:
     """False for null, blank and placeholder cells."""
-    return F.coalesce(~F.lower(c).rlike(PLACEHOLDERS), F.lit(False))
+    return ~is_placeholder(c)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         read = [(read_brand if kind == "brand" else read_organisation)(name) for kind, name in zip(pdf["kind"], pdf["name"], strict=True)]
-        yield pdf.assign(key=[r.proper for r in read], trade=[r.trade for r in read], cut=[r.cut for r in read], partner=[r.partner for r in read])
+        yield pdf.assign(key=[r.proper for r in read], trade=[r.trade for r in read], cut=[r.cut for r in read])
 
 
 def read_names(cells: DataFrame) -> DataFrame:
-    """kind, name, rows, key, trade, cut, partner of every distinct name of cells(kind, name); only distinct names reach Python."""
+    """kind, name, rows, key, trade, cut of every distinct name of cells(kind, name); only distinct names reach Python."""
     distinct = cells.where(is_name(F.col("name"))).groupBy("kind", "name").agg(F.count("*").alias("rows"))
-    return distinct.mapInPandas(_read, "kind string, name string, rows long, key string, trade string, cut boolean, partner string")
+    return distinct.mapInPandas(_read, "kind string, name string, rows long, key string, trade string, cut boolean")
 
 
 # -- trie join ------------------------------------------------------------------------------------------------------
@@ -49,20 +53,35 @@ def _cuts(n: int) -> list[tuple[int, int]]:
 
 
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shards of keys: of SEGMENTS segments one is left whole by EDITS edits, shifted by EDITS letters at most."""
+    """Shards of words: of SEGMENTS segments one is left whole by EDITS edits, shifted by EDITS letters at most.
+
+    Words near SHORT letters, of which one edit may part them, meet by what is left when one letter goes.
+    """
     for pdf in batches:
         rows = set()
         for kind, key, asks in pdf[["kind", "key", "asks"]].itertuples(index=False, name=None):
+            if len(key) <= SHORT + 1:
+                for rest in {key, *(key[:i] + key[i + 1 :] for i in range(len(key)))}:
+                    rows.add((f"{kind}|-|{rest}", 0, key))
+                    if asks:
+                        rows.add((f"{kind}|-|{rest}", 1, key))
+            if len(key) <= SHORT:
+                continue
             for i, (at, n) in enumerate(_cuts(len(key))):
                 rows.add((f"{kind}|{len(key)}|{i}|{key[at : at + n]}", 0, key))
             if asks:
-                for size in range(max(SEGMENTS, len(key) - EDITS), len(key) + EDITS + 1):
+                for size in range(max(SHORT + 1, len(key) - EDITS), len(key) + EDITS + 1):
                     for i, (at, n) in enumerate(_cuts(size)):
                         for shift in range(max(0, at - EDITS), min(len(key) - n, at + EDITS) + 1):
                             rows.add((f"{kind}|{size}|{i}|{key[shift : shift + n]}", 1, key))
         yield pd.DataFrame(list(rows), columns=["shard", "side", "key"])
 
 
+def allowed(a: str, b: str) -> int:
+    """Edits within which two words may be one: fewer for short ones."""
+    return 1 if min(len(a), len(b)) <= SHORT else EDITS
+
+
 def _neighbours(trie: dict, word: str, most: int) -> Iterator[tuple[str, int]]:
     """Words of a trie within some edits: depth-first, with the automaton's states as a row of distances."""
     stack = [(trie, list(range(len(word) + 1)), [], "")]
@@ -93,18 +112,18 @@ def _trie_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 node[""] = key
             elif trie:
                 kind = block.split("|", 1)[0]
-                found += [(kind, key, other, d) for other, d in _neighbours(trie, key, EDITS) if other != key]
+                found += [(kind, key, other, d) for other, d in _neighbours(trie, key, EDITS) if other != key and d <= allowed(key, other)]
         yield pd.DataFrame(found, columns=["kind", "key", "other", "distance"])
 
 
 def near_keys(keys: DataFrame) -> DataFrame:
-    """kind, key, other, distance: for each key that asks, all other keys of its kind within EDITS edits.
+    """kind, key, other, distance: for each word that asks, all other words of its kind within EDITS edits, of short ones within one.
 
-    keys: kind, key, asks; one row per key. Keys are sharded by segments, each shard's keys stand in a trie that the
+    keys: kind, key, asks; one row per word. Words are sharded by segments, each shard's keys stand in a trie that the
     asking keys of the shard traverse. A shard with more than BLOCK keys on a side is split into blocks, each pair of
     blocks being one task's work, so a segment that a third of the keys hold does not meet in one task.
     """
-    spread = settled(keys.where(F.length("key") >= SEGMENTS).mapInPandas(_shards, "shard string, side int, key string"))
+    spread = settled(keys.where(F.length("key") >= LEAST).mapInPandas(_shards, "shard string, side int, key string"))
     size = spread.groupBy("shard").pivot("side", [0, 1]).count().where("`0` is not null and `1` is not null")
     blocks = size.select("shard", F.ceil(F.col("0") / BLOCK).cast("int").alias("own"), F.ceil(F.col("1") / BLOCK).cast("int").alias("asking"))
     placed = spread.join(blocks, "shard")
@@ -125,13 +144,55 @@ def _share_trade(a: str, b: str) -> Column:
     return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
 
 
+def _by_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(distance=[word_edits(a, b, EDITS) for a, b in zip(pdf["key"], pdf["other"], strict=True)])
+
+
+def near_names(keys: DataFrame) -> DataFrame:
+    """kind, key, other, distance: for each name that asks, others of as many words within EDITS edits, whatever the order of the words.
+
+    keys: kind, key, asks; a key is one or more words with blanks. Neighbours are enumerated for single words by the trie
+    join; names that have a pair of equal or near words are then compared in every order of their words.
+    """
+    words = keys.select("kind", "key", "asks", F.explode(F.split("key", " ")).alias("word"), F.size(F.split("key", " ")).alias("n"))
+    words = settled(words.where("word <> ''"))
+    single = words.groupBy("kind", "word").agg(F.max("asks").alias("asks")).withColumnRenamed("word", "key")
+    near = settled(near_keys(single).select("kind", F.col("key").alias("word"), F.col("other").alias("o_word")))
+    mine = words.where("asks").select("kind", "key", "word", "n")
+    theirs = words.select("kind", F.col("key").alias("other"), F.col("word").alias("o_word"), "n")
+    # one word each: the trie join has the answer; of more, a pair of near words makes a candidate
+    by_near = mine.join(near, ["kind", "word"]).join(theirs, ["kind", "o_word", "n"]).select("kind", "key", "other")
+    by_same = mine.where("n > 1").join(theirs.where("n > 1").withColumnRenamed("o_word", "word"), ["kind", "word", "n"]).select("kind", "key", "other")
+    met = by_near.unionByName(by_same).where("key <> other").distinct()
+    return met.mapInPandas(_by_order, "kind string, key string, other string, distance int").where(F.col("distance") <= EDITS)
+
+
+def _beginnings(keys: DataFrame) -> DataFrame:
+    """kind, key, other, shorter: names cut short within their last word, or with words left out, and the whole names they begin.
+
+    Words count as cut only with a dot behind, or a trade of organisations; what is left has LEAST letters with a dot and
+    five without. A name that begins two others by whole words begins none.
+    """
+    sure = F.col("cut") | ((F.col("kind") == "manuf") & (F.size("trades") > 0))
+    cut = keys.select("kind", "key", F.when(F.col("cut"), LEAST).otherwise(5).alias("least"), sure.alias("sure"))
+    whole = keys.select("kind", F.col("key").alias("other"), F.explode(F.sequence(F.lit(LEAST), F.length("key") - 1)).alias("n")).where("length(other) > n")
+    heads = whole.select("kind", F.trim(F.substring(F.col("other"), F.lit(1), F.col("n"))).alias("key"), "other", (F.length("other") - F.col("n")).alias("shorter")).distinct()
+    met = heads.join(cut, ["kind", "key"]).where(F.length("key") >= F.col("least"))
+    by_words = F.substring(F.col("other"), F.length("key") + 1, F.lit(1)) == " "
+    told = met.withColumn("by_words", by_words).where("by_words or sure").groupBy("kind", "key", "other", "by_words").agg(F.min("shorter").alias("shorter"))
+    only = told.where("by_words").groupBy("kind", "key").agg(F.count("*").alias("n_whole"))
+    return told.join(only, ["kind", "key"], "left").where("not by_words or n_whole = 1").select("kind", "key", "other", "shorter")
+
+
 def linked_names(cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """kind, name, class_id: every distinct name with the organisation or brand it spells.
 
-    cells: kind (`manuf` or `brand`), name; known: names of the same kind that are right as they are; null, blank and placeholder cells are left out, names are taken byte for
-    byte. A spelling is read into a proper name and a trade, whatever the order, case, joints and short forms of its
-    words. Proper names that few spellings have are linked to one with more spellings that is within two edits (trie
-    join), or whose beginning they are; trades must agree. A name without a trade joins the only trade of its proper
+    cells: kind (`manuf` or `brand`), name; known: names of the same kind that are right as they are; null, blank and
+    placeholder cells are left out, names are taken byte for byte. A spelling is read into the words of its proper name
+    and a trade, whatever the case, joints and short forms of its words. A proper name that is not known is linked to one
+    that is, or that has RIGHT times its spellings, if it is within EDITS edits in some order of the words (trie join, then
+    orders), or begins it; trades must agree. Links of links are followed to their end. Names that are only turned are one. A name without a trade joins the only trade of its proper
     name, so makers that share a surname in different trades stay apart. An empty table gives no rows.
     """
     names = settled(read_names(cells))
@@ -142,29 +203,25 @@ def linked_names(cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
             F.count("*").alias("support"), F.sum("rows").alias("rows"), F.collect_set(F.when(F.col("trade") != "", F.col("trade"))).alias("trades"), F.max("cut").alias("cut")
         )
     )
-    stands = F.coalesce("right", F.lit(False)) | (F.col("support") >= ESTABLISHED)
-    keys = settled(keys.join(right, ["kind", "key"], "left").withColumn("stands", stands).drop("right"))
-    typed = near_keys(keys.select("kind", "key", (~F.col("stands") & (F.length("key") > 6)).alias("asks")))
-    near = typed.select("kind", "key", "other", "distance", F.lit(0).alias("shorter"))
-    head = keys.where((F.length("key") >= 5) & (F.col("cut") | ((F.col("kind") == "manuf") & (F.size("trades") > 0)))).select("kind", "key", F.length("key").alias("n"))
-    whole = keys.where(F.length("key") >= 8).select("kind", F.col("key").alias("other"), F.explode(F.sequence(F.greatest(F.lit(5), F.length("key") - 5), F.length("key") - 3)).alias("n"))
-    heads = whole.select("kind", F.substring(F.col("other"), F.lit(1), F.col("n")).alias("key"), "other", (F.length("other") - F.col("n")).alias("shorter"))
-    begun = heads.join(head.select("kind", "key"), ["kind", "key"]).select("kind", "key", "other", F.lit(0).alias("distance"), "shorter")
-    turned = names.where("partner <> ''").select("kind", F.col("partner").alias("key"), F.col("key").alias("other")).distinct()
-    turned = turned.where("key <> other").select("*", F.lit(0).alias("distance"), F.lit(0).alias("shorter"))
-    links = near.unionByName(begun).unionByName(turned)
-    one = keys.select("kind", F.col("key"), *[F.col(c).alias(f"k_{c}") for c in ("support", "rows", "trades", "stands")])
-    two = keys.select("kind", F.col("key").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("support", "rows", "trades", "stands")])
+    keys = settled(keys.join(right, ["kind", "key"], "left").withColumn("right", F.coalesce("right", F.lit(False))))
+    typed = near_names(keys.select("kind", "key", (~F.col("right")).alias("asks")))
+    links = typed.select("*", F.lit(0).alias("shorter")).unionByName(_beginnings(keys).select("kind", "key", "other", F.lit(0).alias("distance"), "shorter"))
+    facts = ("support", "rows", "trades", "right", "cut")
+    one = keys.select("kind", "key", *[F.col(c).alias(f"k_{c}") for c in facts])
+    two = keys.select("kind", F.col("key").alias("other"), *[F.col(c).alias(f"o_{c}") for c in facts])
     links = links.join(one, ["kind", "key"]).join(two, ["kind", "other"])
-    more = F.struct("o_stands", "o_support", "o_rows", "other") > F.struct("k_stands", "k_support", "k_rows", "key")
-    links = links.where(more & _share_trade("k_trades", "o_trades"))
-    better = F.struct(
-        F.col("o_stands").alias("a"), (-F.col("distance")).alias("b"), (-F.col("shorter")).alias("c"), F.col("o_support").alias("d"), F.col("o_rows").alias("e"), F.col("other").alias("f")
-    )
-    parent = settled(links.groupBy("kind", "key").agg(F.max_by("other", better).alias("up")))
-    for _ in range(2):  # a misspelling of a misspelling
-        above = parent.select("kind", F.col("key").alias("up"), F.col("up").alias("top"))
-        parent = parent.join(above, ["kind", "up"], "left").select("kind", "key", F.coalesce("top", "up").alias("up"))
+    more = F.struct("o_right", "o_support", "o_rows", "other") > F.struct("k_right", "k_support", "k_rows", "key")
+    turned = (F.col("distance") == 0) & (F.col("shorter") == 0)
+    rarely = F.col("k_support") <= F.greatest(F.lit(FEW), F.col("o_support") / RIGHT)
+    fits = ((F.col("shorter") > 0) & ~F.col("o_cut")) | (more & (turned | rarely))
+    links = links.where(~F.col("k_right") & fits & _share_trade("k_trades", "o_trades"))
+    begun = F.col("k_cut") & (F.col("shorter") > 0)  # a dot says that the word goes on
+    names_of = {"begun": begun, "near": -F.col("distance"), "right": F.col("o_right"), "whole": -F.col("shorter"), "support": F.col("o_support"), "rows": F.col("o_rows"), "other": F.col("other")}
+    better = F.struct(*[c.alias(n) for n, c in names_of.items()])
+    parent = links.groupBy("kind", "key").agg(F.max_by("other", better).alias("up"))
+    tagged = lambda c: F.concat_ws("|", "kind", c)
+    classes = components(parent.select(tagged("key").alias("a"), tagged("up").alias("b")))
+    parent = classes.select(F.substring_index("node", "|", 1).alias("kind"), F.expr("substring(node, instr(node, '|') + 1)").alias("key"), F.expr("substring(component, instr(component, '|') + 1)").alias("up"))
     rooted = names.join(parent, ["kind", "key"], "left").select("kind", "name", F.coalesce("up", "key").alias("root"), "trade")
     trades = rooted.where("trade <> ''").groupBy("kind", "root").agg(F.collect_set("trade").alias("of_root"))
     placed = rooted.join(trades, ["kind", "root"], "left")
@@ -186,48 +243,51 @@ def variant_pairs(cells: DataFrame, known: DataFrame | None = None) -> DataFrame
 # -- mapping to a canonical list ------------------------------------------------------------------------------------
 
 
-def _grams(key: Column) -> Column:
-    """Distinct pairs of neighbouring letters, with the ends marked."""
-    padded = F.concat(F.lit("^"), key, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
+def _grams(kind: Column, key: Column) -> Column:
+    """Distinct pairs of neighbouring letters, with the ends marked, of words in any order; tagged by kind, so that kinds never meet."""
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.concat_ws("|", kind, F.substring(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(2))))
+    return F.array_distinct(F.flatten(F.transform(F.filter(F.split(key, " "), lambda w: w != ""), pairs)))
 
 
 def _with_edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf.assign(distance=[edits(a, b, EDITS) for a, b in zip(pdf["key"], pdf["entry"], strict=True)])
+        yield pdf.assign(distance=[edits(a, b, EDITS) if " " not in a + b else word_edits(a, b, EDITS) for a, b in zip(pdf["key"], pdf["entry"], strict=True)])
 
 
-def canonical_codes(entered: DataFrame, canonical: DataFrame, least: float = 0.2) -> DataFrame:
+def canonical_codes(entered: DataFrame, canonical: DataFrame, least: float = 0.25) -> DataFrame:
     """field_name, entered, code: each distinct name of entered(field_name, kind, name) with the code of the entry it means.
 
     canonical: kind, name, code. Names that are exactly an entry are left out, as are null, blank and placeholder
     cells; a name that means no entry, or equally well two, has the code NONE. Entries and names are compared by the
-    letter pairs of their proper names (prefix-filtered set-similarity join); a candidate counts if the proper names are
-    within two edits or the entered one is cut short, and the trades agree. An empty list gives NONE throughout.
+    letter pairs of their proper names (prefix-filtered set-similarity join), and the most similar one is kept that an
+    exact check passes: the proper names are within two edits, short ones within one, or the entered one is cut short,
+    and the trades agree. An empty list gives NONE throughout.
     """
     cells = settled(entered.where(is_name(F.col("name"))).groupBy("field_name", "kind", "name").agg(F.count("*").alias("rows")))
     cells = cells.join(canonical.select("kind", "name").distinct(), ["kind", "name"], "left_anti")
     read = settled(read_names(cells.select("kind", "name")))
     told = read_names(canonical.select("kind", "name"))
-    told = told.select("kind", "name", F.explode(F.array_distinct(F.array("key", F.when(F.col("partner") != "", F.col("partner")).otherwise(F.col("key"))))).alias("key"), "trade")
+    # one partner may stand for all of them
+    told = told.select("kind", "name", F.explode(F.array_distinct(F.concat(F.array("key"), F.split("key", " ")))).alias("key"), "trade")
     entries = told.join(canonical.distinct(), ["kind", "name"])
     entries = settled(entries.select("kind", "key", "trade", "code").distinct())
-    asked = read.select("kind", "key").distinct().select(F.concat_ws("|", "kind", "key").alias("l"), _grams(F.col("key")).alias("tokens"))
-    listed = entries.select("kind", "key").distinct().select(F.concat_ws("|", "kind", "key").alias("r"), _grams(F.col("key")).alias("tokens"))
+    asked = read.select("kind", "key").distinct().select(F.concat_ws("|", "kind", "key").alias("l"), _grams(F.col("kind"), F.col("key")).alias("tokens"))
+    listed = entries.select("kind", "key").distinct().select(F.concat_ws("|", "kind", "key").alias("r"), _grams(F.col("kind"), F.col("key")).alias("tokens"))
     kind_of = lambda c: F.substring_index(c, "|", 1)
     key_of = lambda c: F.element_at(F.split(c, r"\|", 2), 2)
-    similar = similar_sets(asked, listed, least).where(kind_of("l") == kind_of("r"))
+    similar = similar_sets(asked, listed, least)
     near = similar.select(kind_of("l").alias("kind"), key_of("l").alias("key"), key_of("r").alias("entry"), "similarity")
     near = near.mapInPandas(_with_edits, "kind string, key string, entry string, similarity double, distance int")
     shorter = F.length("entry") - F.length("key")
-    begins = F.col("entry").startswith(F.col("key")) & shorter.between(3, 5)
-    near = near.where((F.col("distance") <= F.when(F.length("key") > 6, EDITS).otherwise(0)) | begins)
+    begins = F.col("entry").startswith(F.col("key")) & (shorter > 0) & (F.length("key") >= LEAST)
+    short = F.least(F.length("key"), F.length("entry")) <= SHORT
+    near = near.where((F.col("distance") <= F.when(short, 1).otherwise(EDITS)) | begins).withColumn("typed", F.col("distance") <= F.when(short, 1).otherwise(EDITS))
     hits = read.join(near, ["kind", "key"]).join(entries.select("kind", F.col("key").alias("entry"), F.col("trade").alias("entry_trade"), "code"), ["kind", "entry"])
     agree = (F.col("trade") == "") | (F.col("entry_trade") == "") | (F.col("trade") == F.col("entry_trade"))
-    abbreviated = (F.col("distance") <= EDITS) | F.col("cut") | ((F.col("kind") == "manuf") & (F.col("trade") != ""))
+    abbreviated = F.col("typed") | F.col("cut") | ((F.col("kind") == "manuf") & (F.col("trade") != ""))
     hits = hits.where(agree & abbreviated)
-    # edits before cut names, fewer edits first, then the more similar; equally good entries of two codes are none
-    rank = F.struct(F.when(F.col("distance") <= EDITS, F.col("distance")).otherwise(EDITS + 1).alias("a"), (-F.col("similarity")).alias("b"))
+    # the most similar entry counts, misspelt names before cut ones; equally similar entries of two codes are none
+    rank = F.struct((~F.col("typed")).alias("a"), (-F.col("similarity")).alias("b"), F.when(F.col("typed"), F.col("distance")).otherwise(0).alias("c"))
     best = hits.withColumn("rank", rank).withColumn("first", F.min("rank").over(Window.partitionBy("kind", "name"))).where("rank = first")
     code = best.groupBy("kind", "name").agg(F.collect_set("code").alias("codes")).select("kind", "name", F.when(F.size("codes") == 1, F.element_at("codes", 1)).alias("code"))
     return cells.join(code, ["kind", "name"], "left").select("field_name", F.col("name").alias("entered"), F.coalesce("code", F.lit("NONE")).alias("code"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import permutations
 from typing import NamedTuple
 
 # Words of organisation names that are not their proper names, and given names with their short forms.
@@ -30,19 +31,13 @@ _LOOKS = str.maketrans("01358$@", "olebssa")
 _OCR = {"0": "o", "1": "l", "3": "e", "5": "s", "8": "b", "$": "s", "@": "a"}
 _JOINED = sorted({*TRADES, *GENERIC, "company", "corporation", "group", "gmbh", "incorporated", "limited"}, key=len, reverse=True)
 
-PLACEHOLDERS = (
-    r"^\s*(?:-- unbranded --|-- no unilog brand --|-- no dib brand --|-- no brand --|-{2,}|n/?a|none|null|unknown|tbd|\.+|0|nan|nat|)\s*$"
-)
-
-
 class Spelling(NamedTuple):
-    """proper: letters of the proper name; trade: one word of the trade or empty; cut: the proper name was abbreviated
-    with a dot; partner: a second proper name, or empty."""
+    """proper: the words of the proper name in their order, with blanks; trade: one word of the trade or empty; cut: the
+    proper name was abbreviated with a dot."""
 
     proper: str
     trade: str
     cut: bool
-    partner: str = ""
 
 
 def plain(name: str) -> str:
@@ -70,6 +65,17 @@ def _trade_word(token: str) -> str | None:
     return _SINGULAR.get(word, word) if word else None
 
 
+def _parted(word: str, alone: bool) -> list[str]:
+    """The words of organisations at the end of one long word, and, if it is the whole name, a given name at its start."""
+    found = []
+    while hit := next((w for w in _JOINED if word.endswith(w) and len(word) - len(w) >= 5), None):
+        word, found = word[: -len(hit)], [hit, *found]
+    if found and alone:
+        given = next((g for g in sorted(_SHORT, key=len, reverse=True) if word.startswith(g) and len(word) - len(g) >= 7), "")
+        word = word[len(given) :]
+    return [word, *found]
+
+
 def read_organisation(name: str) -> Spelling:
     """Proper name and trade of an organisation's spelling, whatever the order and joints of its words."""
     s = plain(name)
@@ -77,16 +83,8 @@ def read_organisation(name: str) -> Spelling:
     s = re.sub(r"\b([a-z])\.(?=[a-z]\.)", r"\1", s)  # l.l.c. and g.m.b.h.
     s = re.sub(r"\b([a-z])\.([a-z])\b\.?", r"\1\2", s)
     dotted = set(re.findall(r"\b([a-z]{3,})\.", s))
-    tokens = re.findall(r"[a-z]+", s)
-    if len(tokens) == 1:  # words written as one
-        rest, found = tokens[0], []
-        while hit := next((w for w in _JOINED if rest.endswith(w) and len(rest) - len(w) >= 5), None):
-            rest, found = rest[: -len(hit)], [hit, *found]
-        for g in sorted(_SHORT, key=len, reverse=True):
-            if found and rest.startswith(g) and len(rest) - len(g) >= 7:
-                rest = rest[len(g) :]
-                break
-        tokens = [rest, *found]
+    tokens = re.findall(r"[a-z]+", s.replace("co-op", "coop"))
+    tokens = [t for w in tokens for t in _parted(w, len(tokens) == 1)]
     trades, proper = [], []
     for t in tokens:
         if t in LEGAL or t in ACCOUNT or t in _SHORT or len(t) == 1:
@@ -99,7 +97,7 @@ def read_organisation(name: str) -> Spelling:
     if not proper:
         return Spelling(" ".join(tokens), "", False)
     trade = min(trades, key=TRADES.index) if trades else ""
-    return Spelling(proper[0], trade, proper[0] in dotted, proper[1] if len(proper) > 1 else "")
+    return Spelling(" ".join(dict.fromkeys(proper)), trade, any(p in dotted for p in proper))
 
 
 def read_brand(name: str) -> Spelling:
@@ -129,6 +127,23 @@ def edits(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+def word_edits(a: str, b: str, most: int) -> int:
+    """Edits between two names of as many words in the best order of their words; most + 1 if there are more.
+
+    Equal words are paired first, which is never worse; the others are tried in every order.
+    """
+    one, two = a.split(), b.split()
+    if len(one) != len(two):
+        return most + 1
+    for w in list(one):
+        if w in two:
+            one.remove(w)
+            two.remove(w)
+    if len(one) > most:  # each pair of different words costs an edit at least
+        return most + 1
+    return min((sum(edits(x, y, most) for x, y in zip(one, order, strict=True)) for order in permutations(two)), default=0)
+
+
 def next_row(word: str, row: list[int], before: list[int], letter: str, last: str) -> list[int]:
     """Distances of all beginnings of `word` from a text one letter longer: the next state of the automaton."""
     out = [row[0] + 1]

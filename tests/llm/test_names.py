@@ -31,10 +31,10 @@ def test_edits():
 
 def test_trie_join(spark):
     rng = random.Random(8)
-    keys = {"".join(rng.choices("abc", k=rng.randint(5, 9))) for _ in range(250)}
+    keys = {"".join(rng.choices("abc", k=rng.randint(3, 9))) for _ in range(250)}
     df = spark.createDataFrame([("manuf", k, True) for k in keys] + [("brand", "aaaaaaa", True)], "kind string, key string, asks boolean")
     got = {(r["key"], r["other"]): r["distance"] for r in names.near_keys(df).where("kind = 'manuf'").collect()}
-    want = {(a, b): d for a in keys for b in keys if a != b and (d := edits(a, b, names.EDITS)) <= names.EDITS}
+    want = {(a, b): d for a in keys for b in keys if a != b and (d := edits(a, b, names.EDITS)) <= names.allowed(a, b)}
     assert got == want
 
 
@@ -69,3 +69,19 @@ def test_codes(spark):
         ("part_manuf", "Nelzanlor Wholesale"): "NONE", ("part_manuf", "VARIOUS"): "NONE", ("e1_brand", "porran wen"): "PORJG",
     }
     assert {r["code"] for r in names.canonical_codes(spark.createDataFrame(entered, "field_name string, kind string, name string"), listed.limit(0)).collect()} == {"NONE"}
+
+
+def test_orders_short_names_and_chains(spark):
+    names_of = {"Black Decker": 9, "Decker Black": 1, "Blakc Decker": 1, "Black Diamond": 9, "Smith Brothers": 5, "Smith Sons": 5, "Moen": 9, "Mohn": 1, "Meon": 1, "Delta": 9, "3M": 4, "Hilti": 3, "Milti": 3, "Abcdefghijkl": 9, "Abcdefghijxy": 3, "Abcdefghizxy": 2, "Abcdefgwvzxy": 1}
+    cells = spark.createDataFrame([("manuf", n) for n, k in names_of.items() for _ in range(k)], "kind string, name string")
+    known = spark.createDataFrame([("manuf", n) for n in ("Black Decker", "Black Diamond", "Moen", "Hilti", "Milti")], "kind string, name string")
+    classes = {r["name"]: r["class_id"] for r in names.linked_names(cells, known).collect()}
+    groups = [["Black Decker", "Decker Black", "Blakc Decker"], ["Black Diamond"], ["Smith Brothers"], ["Smith Sons"], ["Moen", "Mohn", "Meon"], ["Delta"], ["3M"], ["Hilti"], ["Milti"], ["Abcdefghijkl", "Abcdefghijxy", "Abcdefghizxy", "Abcdefgwvzxy"]]
+    assert sorted(map(sorted, groups)) == sorted(sorted(n for n in classes if classes[n] == c) for c in set(classes.values()))
+
+
+def test_short_and_far_cut_names_have_codes(spark):
+    listed = spark.createDataFrame([("manuf", "Moen", "MOE"), ("manuf", "Cortorsenbalgalmar Tools", "COR"), ("brand", "Moxn", "BRA")], "kind string, name string, code string")
+    entered = [("part_manuf", "manuf", n) for n in ["Mohn", "Meon Inc.", "Mxyn", "Cortor. Tools", "Tools Cortorsenbalglamar"]]
+    got = {r["entered"]: r["code"] for r in names.canonical_codes(spark.createDataFrame(entered, "field_name string, kind string, name string"), listed).collect()}
+    assert got == {"Mohn": "MOE", "Meon Inc.": "MOE", "Mxyn": "NONE", "Cortor. Tools": "COR", "Tools Cortorsenbalglamar": "COR"}
