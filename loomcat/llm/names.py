@@ -11,7 +11,7 @@ from loomcat.functions.text import is_placeholder
 from loomcat.llm.spelling import edits, next_row, read_brand, read_organisation, word_edits
 from loomcat.operators.graph import components
 from loomcat.operators.setjoin import similar_sets
-from loomcat.session import settled, small
+from loomcat.session import keyed, settled, small
 
 #: Edits within which two proper names may be one, a swap of neighbours being one edit.
 EDITS = 2
@@ -132,7 +132,7 @@ def near_keys(keys: DataFrame) -> DataFrame:
     own = placed.where("side = 0").select("shard", "side", "key", mine("own").alias("a"), F.explode(every("asking")).alias("b"))
     ask = placed.where("side = 1").select("shard", "side", "key", F.explode(every("own")).alias("a"), mine("asking").alias("b"))
     work = own.unionByName(ask).select(F.concat_ws("|", "shard", "a", "b").alias("block"), "side", "key")
-    met = work.repartition("block").sortWithinPartitions("block", "side").mapInPandas(_trie_join, "kind string, key string, other string, distance int")
+    met = keyed(work, "block").sortWithinPartitions("block", "side").mapInPandas(_trie_join, "kind string, key string, other string, distance int")
     return met.dropDuplicates(["kind", "key", "other"])
 
 

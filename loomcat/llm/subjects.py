@@ -19,15 +19,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-#: Most labelled documents that are used to fit; the bound of the sample.
+from loomcat.session import fixed_rows
+
+#: Most labelled documents that are used to fit; the bound of the sample, and so of the terms and models.
 LABELLED = 6000
-#: Most terms of the model, the most telling first.
-TERMS = 60_000
 #: Share of the sentences with a subject from which a subject counts.
 SHARE = 0.25
 BEAM = 6
 #: Sentences remembered in one task; a bound on memory.
 MEMO = 100_000
+#: Subjects at most: a fixed vocabulary.
+SUBJECTS = 1000
 ROUNDS = 4
 #: Share of a term's uses that must be of one subject for the term to tell it.
 PURE = 0.55
@@ -53,11 +55,24 @@ def repaired(text: str) -> str:
     return text
 
 
+class _Letters(dict):
+    """A table for str.translate that drops accents and invisible characters; filled as characters are met."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        self[code] = None if unicodedata.combining(c) or unicodedata.category(c) == "Cf" else code
+        return self[code]
+
+
+_LETTERS = _Letters()
+#: Markup of any length: a tag's name follows its bracket, which tells it from a sign.
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
+
+
 def plain(text: str) -> str:
     """Lower case, without accents and invisible characters."""
     if not text.isascii():
-        s = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in s if not (unicodedata.combining(c) or unicodedata.category(c) == "Cf"))
+        text = unicodedata.normalize("NFKD", text).translate(_LETTERS)
     return text.lower()
 
 
@@ -65,7 +80,7 @@ def sentences(text: str | None) -> list[list[str]]:
     """Words of each sentence; numbers, bullets and speakers at the start of lines are no words, nor are numbers."""
     s = repaired(text or "")
     if "<" in s:
-        s = re.sub(r"<[^<>]{1,80}>", " ", s)
+        s = _TAG.sub(" ", s)
     out = []
     for line in _LEAD.sub("", plain(s)).splitlines():
         for part in _END.split(line):
@@ -96,26 +111,34 @@ class TermModel:
     def __init__(self, terms: list[str], weights: np.ndarray, k: int):
         self.terms = {t: i for i, t in enumerate(terms)}
         self.weights, self.k = weights, k
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, tuple[int, float]] = {}
 
-    def subject(self, words: list[str]) -> int:
-        """Number of the subject that a sentence treats, or -1. Sentences recur, so they are remembered (bounded)."""
+    def subject(self, words: list[str]) -> tuple[int, float]:
+        """Number of the subject that a sentence treats, or -1, and how clearly its terms tell it. Sentences recur, so they are remembered (bounded)."""
         key = " ".join(words)
         best = self.memo.get(key)
         if best is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             ids = [i for t in terms_of(words) if (i := self.terms.get(t)) is not None]
-            best = self.memo[key] = int(np.argmax(self.weights[ids].sum(0))) if ids else -1
+            best = -1, 0.0
+            if ids:
+                sums = self.weights[ids].sum(0)
+                first = int(np.argmax(sums))
+                best = first, float(sums[first] - np.delete(sums, first).max(initial=-3.0)) / len(ids)
+            self.memo[key] = best
         return best
 
     def counts(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Sentences by subject, and of all sentences the number."""
-        n = np.zeros(self.k)
+        """Sentences by subject, then the mean margin of their terms by subject; and the number of all sentences."""
+        n = np.zeros(2 * self.k)
         told = sentences(text)
         for words in told:
-            if (best := self.subject(words)) >= 0:
+            best, margin = self.subject(words)
+            if best >= 0:
                 n[best] += 1
+                n[self.k + best] += margin
+        n[self.k :] /= np.maximum(n[: self.k], 1)
         return n, len(told)
 
 
@@ -134,7 +157,8 @@ def fit_terms(texts: list[list[list[str]]], labels: np.ndarray) -> TermModel:
     often: Counter = Counter()
     for told in texts:
         often.update({t for words in told for t in terms_of(words)})
-    vocabulary = {t: i for i, (t, n) in enumerate(often.most_common(8 * TERMS)) if n >= 2}
+    vocabulary = {t: i for i, t in enumerate(t for t, n in often.items() if n >= 2)}
+    del often
     ids, starts, owner = [], [], []
     for d, told in enumerate(texts):
         for words in told:
@@ -169,22 +193,23 @@ def fit_terms(texts: list[list[list[str]]], labels: np.ndarray) -> TermModel:
         total = np.bincount(term, minlength=v).astype(float)
         base = np.maximum(share.sum(0) / max(told.sum(), 1), 1e-4)
     keep = np.flatnonzero(_telling(by_class, total))
-    keep = keep[np.argsort(-total[keep], kind="stable")[:TERMS]]
     names = list(vocabulary)
     logs = np.log((by_class[keep] + 0.3 * base) / (total[keep, None] + 0.3) / base)
     return TermModel([names[i] for i in keep], logs.astype(np.float32), k)
 
 
 def _columns(counts: np.ndarray, extra: np.ndarray) -> np.ndarray:
-    """Features of all labels: shares, counts, and those of structure."""
-    total = counts.sum(1, keepdims=True)
-    return np.c_[counts / np.maximum(total, 1), np.minimum(counts, 20) / 10, np.minimum(total, 40) / 10, extra]
+    """Features of all labels: shares, counts and margins of terms; their total; and those of source and structure."""
+    k = counts.shape[1] // 2
+    n, margins = counts[:, :k], counts[:, k:]
+    total = n.sum(1, keepdims=True)
+    return np.c_[n / np.maximum(total, 1), np.minimum(n, 20) / 10, np.minimum(margins, 10) / 5, np.minimum(total, 40) / 10, extra]
 
 
 def _for_label(x: np.ndarray, k: int, j: int, before: np.ndarray) -> np.ndarray:
-    share, count = x[:, j], x[:, k + j]
+    share, count, margin = x[:, j], x[:, k + j], x[:, 2 * k + j]
     others = np.delete(x[:, :k], j, axis=1)
-    return np.c_[np.ones(len(x)), share, share >= SHARE, np.minimum(share, SHARE), count, share * x[:, 2 * k], others.max(1), (others >= SHARE).sum(1), x[:, 2 * k :], before]
+    return np.c_[np.ones(len(x)), share, share >= SHARE, np.minimum(share, SHARE), count, margin, share * x[:, 3 * k], others.max(1, initial=0), (others >= SHARE).sum(1), x[:, 3 * k :], before]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
@@ -199,12 +224,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 
 
 class Chain:
-    """Classifiers in order of frequency, each seeing the labels before it."""
+    """Classifiers in order of frequency, each seeing the labels before it, with their odds calibrated on held-out rows.
+
+    Each half of the rows is judged by a chain fitted to the other half; a line through these odds and the true labels
+    (Platt's scaling) then corrects the chain that is fitted to all rows. `calibrated` keeps the mean log loss of the
+    held-out rows before and after.
+    """
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray):
+    def __init__(self, x: np.ndarray, labels: np.ndarray, calibrate: bool = True):
         self.k = labels.shape[1]
         self.order = np.argsort(-labels.sum(0), kind="stable")
         self.weights = [_logistic(_for_label(x, self.k, j, labels[:, self.order[:i]]), labels[:, j]) for i, j in enumerate(self.order)]
+        self.lines = np.tile([0.0, 1.0], (self.k, 1))
+        self.calibrated = (0.0, 0.0)
+        if calibrate and len(x) >= 20:
+            z = np.zeros_like(labels)
+            for half in (0, 1):
+                part = Chain(x[half::2], labels[half::2], calibrate=False)
+                for j in self.order:  # the labels before are the true ones, as in the fit
+                    seen = part.order.tolist().index(j)
+                    z[1 - half :: 2, j] = _for_label(x[1 - half :: 2], self.k, j, labels[1 - half :: 2][:, part.order[:seen]]) @ part.weights[seen]
+            z = np.clip(z, -30, 30)
+            loss = lambda q: float(np.mean(np.logaddexp(0, np.where(labels > 0, -q, q))))
+            self.lines = np.stack([_logistic(np.c_[np.ones(len(x)), z[:, j]], labels[:, j], ridge=1e-3) for j in range(self.k)])
+            self.calibrated = loss(z), loss(z * self.lines[:, 1] + self.lines[:, 0])
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The likeliest combination of labels of each row, by a beam over the chain."""
@@ -213,7 +256,7 @@ class Chain:
         for j, w in zip(self.order, self.weights, strict=True):
             grown = []
             for score, before in beams:
-                z = np.clip(_for_label(x, self.k, j, before) @ w, -30, 30)
+                z = np.clip(self.lines[j, 0] + self.lines[j, 1] * (_for_label(x, self.k, j, before) @ w), -30, 30)
                 for label, log in ((0.0, -np.logaddexp(0, z)), (1.0, -np.logaddexp(0, -z))):
                     grown.append((score + log, np.c_[before, np.full(n, label)]))
             if len(grown) > BEAM:
@@ -233,7 +276,7 @@ def fit(rows: list[tuple[str, str | None, frozenset]], subjects: list[str]) -> t
     """rows: text, source, subjects of labelled documents."""
     labels = np.array([[float(s in row[2]) for s in subjects] for row in rows]).reshape(len(rows), len(subjects))
     told = [sentences(r[0]) for r in rows]
-    counts = np.zeros((len(rows), len(subjects)))
+    counts = np.zeros((len(rows), 2 * len(subjects)))
     for half in (0, 1):
         model = fit_terms([t for i, t in enumerate(told) if i % 2 == half], labels[half::2])
         for i in range(1 - half, len(rows), 2):
@@ -254,10 +297,10 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     """doc_id, subject: one row for each subject a document treats, one, several or none.
 
     Null and blank texts have no row, nor have texts without a sentence on a subject. Without labels or subjects the
-    result is empty. One pass over the documents; the models are bounded by TERMS and the number of subjects.
+    result is empty. One pass over the documents; the models are bounded by LABELLED and the number of subjects.
     """
     spark = documents.sparkSession
-    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().limit(1000).collect())
+    names = sorted(r[0] for r in fixed_rows(subjects.select("subject").where("subject is not null").distinct(), SUBJECTS))
     rows = labelled_sample(documents, labels, most)
     schema = "doc_id long, subject string"
     if not names or not rows:
@@ -272,7 +315,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
                 found = [model.counts(t) for t in part["text"]]
                 counts = np.array([f[0] for f in found])
                 extra = np.array([structure(t, s, n) for t, s, (_, n) in zip(part["text"], part["source"], found, strict=True)])
-                chosen = chain.decode(_columns(counts, extra)) * (counts > 0)
+                chosen = chain.decode(_columns(counts, extra)) * (counts[:, : len(names)] > 0)
                 doc, subject = np.nonzero(chosen)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[doc], "subject": [names[j] for j in subject]})
 
