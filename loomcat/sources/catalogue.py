@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from loomcat.operators import ingest
 from loomcat.operators.numbering import numbered
+from loomcat.sources.workbook import read_sheets
 
 DOCUMENT = "doc_id string, part_number string, text string, url string, domain string, brand string, retrieved_at string, reconstructed boolean, verdict string"
 DECISION = "kind string, key string, value string, actor string, note string, at string"
@@ -31,19 +32,75 @@ def find_input(given: str | None, folder: str, preferred: list[str] = ()) -> str
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """All cells of a csv file or workbook as strings, absent ones empty. Workbooks need a reader that may be missing."""
+    """All cells of a csv file or workbook as strings, absent ones empty. Of a workbook the first sheet counts."""
     if path.lower().endswith((".xlsx", ".xls")):
-        import pandas as pd
-
-        try:
-            pdf = pd.read_excel(path, header=None, dtype=str).fillna("")
-        except ImportError as e:
-            raise NotImplementedError("no reader of workbooks is installed; save the sheet as csv") from e
-        lines = spark.createDataFrame([(i, [str(c) for c in r]) for i, r in enumerate(pdf.head(15).values.tolist())], "line int, cells array<string>")
-        at = ingest.header_row(lines).first()["line"]
-        body = pdf.iloc[at + 1 :]
-        return spark.createDataFrame(body.values.tolist(), T.StructType([T.StructField(str(c), T.StringType()) for c in pdf.iloc[at]]))
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"').fillna("")
+        rows = next(iter(read_sheets(path).values()), [])
+        lines = spark.createDataFrame([(i, r) for i, r in enumerate(rows[:15])], "line int, cells array<string>")
+        at = ingest.header_row(lines).first()["line"] if rows else 0
+        return _table(spark, rows[at] if rows else [], rows[at + 1 :])
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"').fillna("")
+
+
+def _table(spark: SparkSession, header: list[str], rows: list[list[str]]) -> DataFrame:
+    """Rows of a sheet under its header; empty and repeated headers get a number, short rows empty cells."""
+    names: list[str] = []
+    for i, h in enumerate(header):
+        names.append(h if h and h not in names else f"{h}_{i}")
+    body = [[*r, *[""] * len(names)][: len(names)] for r in rows if any(c.strip() for c in r)]
+    return spark.createDataFrame(body, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+
+#: Rows among which the header of a vocabulary's sheet is looked for.
+HEADER_ROWS = 12
+
+
+def read_vocabulary(spark: SparkSession, path: str, wanted: dict[str, list[str]]) -> DataFrame | None:
+    """A vocabulary from any sheet of a workbook: one column for each wanted name, under a header that holds one of its words.
+
+    The first sheet with a row among its first HEADER_ROWS that has all wanted names counts, header cells are compared in
+    lower case by what they contain. None if the file is missing or has no such sheet.
+    """
+    if not Path(path).exists():
+        return None
+    for rows in read_sheets(path).values():
+        for at, header in enumerate(rows[:HEADER_ROWS]):
+            found = {name: next((i for i, h in enumerate(header) if any(w in h.strip().lower() for w in words)), None) for name, words in wanted.items()}
+            if None not in found.values():
+                body = [[(r[i] if i < len(r) else "").strip() for i in found.values()] for r in rows[at + 1 :]]
+                return _table(spark, list(found), body)
+    return None
+
+
+def read_manufacturers(spark: SparkSession, path: str, seed: DataFrame) -> DataFrame:
+    """Makers and brands of a supplied workbook, an empty brand being the maker's; host, sector and aliases from the seed by name.
+
+    Without a readable workbook the seed itself.
+    """
+    told = read_vocabulary(spark, path, {"manufacturer_name": ["manufacturer name", "mfr name", "manufacturer"], "manufacturer_code": ["manufacturer code", "mfr code"], "brand_name": ["brand name"], "brand_code": ["brand code"]})
+    if told is None:
+        return seed
+    told = told.where("manufacturer_name <> ''").withColumn("brand_name", F.when(F.col("brand_name") == "", F.col("manufacturer_name")).otherwise(F.col("brand_name"))).distinct()
+    facts = seed.groupBy("manufacturer_name").agg(F.min("domain").alias("domain"), F.min("sector").alias("sector"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>")))))).alias("aliases"))
+    return told.join(facts, "manufacturer_name", "left").select("manufacturer_name", "manufacturer_code", "brand_name", "brand_code", F.coalesce("domain", F.lit("")).alias("domain"), F.coalesce("sector", F.lit("")).alias("sector"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+def assembled(spark: SparkSession, folder: str, seeds: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Vocabularies by name, supplied ones before those of the seed, and where each comes from.
+
+    In the folder manufacturers.xlsx and units.xlsx are looked for; seeds: manufacturers, units and any others.
+    """
+    out, whence = dict(seeds), {name: "seed" for name in seeds}
+    if Path(f"{folder}/manufacturers.xlsx").exists():
+        supplied = read_manufacturers(spark, f"{folder}/manufacturers.xlsx", seeds["manufacturers"])
+        if supplied is not seeds["manufacturers"]:
+            out["manufacturers"], whence["manufacturers"] = supplied, "supplied"
+    units = read_vocabulary(spark, f"{folder}/units.xlsx", {"measurement_type": ["measurement type", "type"], "canonical": ["abbreviation", "canonical"], "aliases": ["alias", "term"]})
+    if units is not None:
+        split = F.filter(F.split("aliases", r"\s*[,;|]\s*"), lambda a: a != "")
+        layered = unit_layers(units.where("canonical <> ''").select("measurement_type", "canonical", split.alias("aliases")), seeds["units"])
+        out["units"] = layered.groupBy("measurement_type", "canonical").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+        whence["units"] = "supplied over seed"
+    return out, whence
 
 
 def read_catalogue(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomcat import vocabulary as V
+from loomcat.sources.workbook import read_sheets, write_sheet
 
 BOM = "﻿"
 
@@ -33,6 +34,31 @@ def write_csv_file(df: DataFrame, path: str) -> int:
     return n
 
 
+def write_workbook(df: DataFrame, path: str) -> int:
+    """A small delivery as a workbook with a frozen header and a filter; rows stream through the driver. Gives their number."""
+    n = 0
+
+    def rows():
+        nonlocal n
+        for row in df.toLocalIterator():
+            n += 1
+            yield row
+
+    write_sheet(path, df.columns, rows())
+    return n
+
+
+def workbook_cells(path: str) -> tuple[int, int]:
+    """Rows and populated cells of a written workbook, read again, its header left out."""
+    rows = next(iter(read_sheets(path).values()))[1:]
+    return len(rows), sum(bool(c.strip()) for r in rows for c in r)
+
+
+def append_decisions(rows: DataFrame, path: str) -> None:
+    """Decisions, added to the log in a folder; nothing that stands there is changed."""
+    rows.write.mode("append").json(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """A table as lines of JSON."""
     df.write.mode("overwrite").json(path)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from loomcat import vocabulary as V
 from loomcat.functions import tokens
-from loomcat.operators import documents as docs, entity, extract, families, graph, induce, ingest, ledger, propagate, search, setjoin, verify
+from loomcat.operators import documents as docs, entity, extract, families, graph, induce, ingest, ledger, propagate, review, search, setjoin, verify
 from loomcat.operators.numbering import numbered
+from loomcat.sources import catalogue as files, sinks
+from loomcat.sources.workbook import write_sheet
 
 
 def test_numbering(spark):
@@ -256,3 +258,72 @@ def test_header_names_and_profile(spark):
     assert ingest.header_row(lines).first()["line"] == 1
     empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in ingest.CELLS))
     assert ingest.profile(empty).first()["n_rows"] == 0
+
+
+def test_review_queue(spark):
+    held = spark.createDataFrame([(1, "no category; no manufacturer"), (2, "no category"), (3, "few attributes"), (4, "few attributes"), (5, "no manufacturer"), (6, "")], "row_id long, reasons string")
+    cats = spark.createDataFrame([(1, None, "gizmo"), (2, None, " gizmo "), (3, "Valves", "Valve"), (4, "Valves", "Valve"), (5, "Valves", "Valve"), (6, None, None)], "row_id long, leaf string, item_type string").withColumn("sequence", F.when(F.col("leaf") == "Valves", F.array(F.lit("Size"), F.lit("Body"))).otherwise(F.array().cast("array<string>")))
+    attrs = spark.createDataFrame([(3, "Size"), (4, "Size"), (3, "Size")], "row_id long, label string")
+    items = spark.createDataFrame([(i, None if i == 5 else "acme", f"d{i}") for i in range(1, 7)], "row_id long, part_manuf string, description string")
+    contra = spark.createDataFrame([(6, "A", "B", "C")], "row_id long, manufacturer_name string, brand_name string, owner string")
+    unnamed = spark.createDataFrame([(1, "a1", ["x", "y"], 2), (2, "a1", ["x", "y"], 2), (3, "a2", ["z"], 1)], "row_id long, attr_id string, values array<string>, support int")
+    q = review.queue(held, cats, attrs, items, contra, unnamed)
+    got = [(r["action_id"], r["kind"], r["key"], r["records"], r["examples"]) for r in q.actions.orderBy("action_id").collect()]
+    assert got == [
+        ("act-0001", "no category", "Gizmo", 2, ["d1", "d2"]), ("act-0002", "unnamed attribute", "a1", 2, ["d1", "d2"]), ("act-0003", "few attributes", "Valves", 2, ["d3", "d4"]),
+        ("act-0004", "contradiction", "6 / A / B / C", 1, ["d6"]), ("act-0005", "no manufacturer", "(empty)", 1, ["d5"]), ("act-0006", "no manufacturer", "acme", 1, ["d1"]),
+    ]
+    assert {r["kind"]: r["options"] for r in q.actions.collect()}["few attributes"] == ["Body"]
+    assert {r["kind"]: (r["actions"], r["records"]) for r in q.blockers().collect()}["no manufacturer"] == (2, 2)
+    assert review.queue(held.limit(0), cats, attrs, items, contra.limit(0)).actions.count() == 0
+
+
+def test_decisions(spark, tmp_path):
+    log = f"{tmp_path}/log"
+    for d in [("manufacturer", "acme", "Old", "1"), ("item_type", "gizmo", "P>a", "2")]:
+        sinks.append_decisions(review.decision(spark, *d), log)
+    sinks.append_decisions(review.cleared(spark, "3"), log)
+    for d in [("manufacturer", "acme", "Acme Inc.", "4"), ("contradiction", "6", "maker", "5"), ("contradiction", "7", "brand", "5"), ("contradiction", "8", "escalate", "6")]:
+        sinks.append_decisions(review.decision(spark, *d), log)
+    live = files.decided(spark.read.json(log))
+    assert {(r["kind"], r["key"], r["value"]) for r in live.collect()} == {("manufacturer_map", "acme", "Acme Inc."), ("contradictions", "6", "maker"), ("contradictions", "7", "brand"), ("contradictions", "8", "escalate")}
+    assert review.summary(live).first().asDict() == {"decisions": 4, "item_types_mapped": 0, "attributes_named": 0, "manufacturers_mapped": 1, "contradictions_resolved": 3}
+    resolved = spark.createDataFrame([(6, "A", "B"), (7, "A", "B"), (8, "A", "B"), (9, "A", "B")], "row_id long, manufacturer_name string, brand_name string")
+    contra = resolved.withColumn("owner", F.lit("C"))
+    after, open_ = review.settled_contradictions(resolved, contra, live)
+    assert {r["row_id"]: (r["manufacturer_name"], r["brand_name"]) for r in after.collect()} == {6: ("C", "B"), 7: ("A", ""), 8: ("A", "B"), 9: ("A", "B")}
+    assert {r["row_id"] for r in open_.collect()} == {8, 9}
+    with pytest.raises(ValueError):
+        review.decision(spark, "other", "", "", "1")
+
+
+def test_workbooks(spark, tmp_path):
+    path = f"{tmp_path}/c.xlsx"
+    df = spark.createDataFrame([("A-1", 'x & <y> "z"', None), ("", "line\nbreak", "é\x01½")], "mpn string, description string, brand string")
+    assert sinks.write_workbook(df, path) == 2 and sinks.workbook_cells(path) == (2, 4)
+    assert [r.asDict() for r in files.read_cells(spark, path).collect()] == [{"mpn": "A-1", "description": 'x & <y> "z"', "brand": ""}, {"mpn": "", "description": "line\nbreak", "brand": "é½"}]
+    assert files.read_catalogue(spark, path).orderBy("row_id").first()["e1_brand"] == ""
+    seed = spark.createDataFrame([("Acme", "ACM", "Ac", "AC1", "acme.example", "tools", ["acm"])], "manufacturer_name string, manufacturer_code string, brand_name string, brand_code string, domain string, sector string, aliases array<string>")
+    units = spark.createDataFrame([("Length", "in", ["inch"])], "measurement_type string, canonical string, aliases array<string>")
+    write_sheet(f"{tmp_path}/manufacturers.xlsx", ["Title"], [["", ""], ["No.", "Manufacturer Name", "Manufacturer Code", "Brand Name", "Brand Code"], ["1", "Acme", "ACM", "", "B1"], ["2", "New", "NEW", "Nw", "B2"], []])
+    write_sheet(f"{tmp_path}/units.xlsx", ["Measurement Type", "Abbreviation", "Terms"], [["Length", "IN", "inch, zoll"]])
+    tables, whence = files.assembled(spark, str(tmp_path), {"manufacturers": seed, "units": units})
+    assert whence == {"manufacturers": "supplied", "units": "supplied over seed"}
+    assert {(r["manufacturer_name"], r["brand_name"], r["domain"]) for r in tables["manufacturers"].collect()} == {("Acme", "Acme", "acme.example"), ("New", "Nw", "")}
+    assert {a: r["canonical"] for r in tables["units"].collect() for a in r["aliases"]} == {"in": "IN", "ins": "IN", "inch": "IN", "zoll": "IN"}
+    assert files.assembled(spark, f"{tmp_path}/none", {"manufacturers": seed, "units": units})[1] == {"manufacturers": "seed", "units": "seed"}
+
+
+def test_abstentions_and_reports(spark):
+    items = _items(spark, ["Brs dko DKO ftg x", "plain"])
+    cats = spark.createDataFrame([(0, True, "x"), (1, False, "gizmo")], "row_id long, classified boolean, item_type string")
+    res = spark.createDataFrame([(0, "exact"), (1, "unresolved")], "row_id long, method string")
+    composed = spark.createDataFrame([(0, "m" * 60), (1, None)], "row_id long, MOBILE_DESC string")
+    sourced = spark.createDataFrame([(0, "MARKETING_DESC")], "row_id long, field string")
+    gone = spark.createDataFrame([(1, "UPC", "1")], "row_id long, field string, value string")
+    told = review.abstentions(items, cats, res, composed, sourced, gone)
+    assert sorted((r["row_id"], r["field"], r["detail"]) for r in told.collect()) == [(0, "ABBREVIATION", "DKO"), (0, "ABBREVIATION", "FTG"), (1, "CLASSPATH", "gizmo"), (1, "MANUFACTURER_NAME", ""), (1, "MARKETING_DESC", ""), (1, "MOBILE_DESC", ""), (1, "PRIMARY_IMAGE_URL", ""), (1, "PUBLISHING_RULE", "UPC")]
+    assert {r["reason"]: r["abstentions"] for r in review.by_reason(told).collect()}["abbreviation left unexpanded"] == 2
+    assert review.systematic(spark.range(1000), "id", 300).count() == 334
+    df = spark.createDataFrame([(0.5,), (2.25,), (0.99,), (0.0,), (None,), (-1.0,), (1.999,)], "x double")
+    assert [r[0] for r in df.select(review.nearest_fraction(F.col("x"))).collect()] == ["1/2", "1/4", "63/64", "", None, None, ""]
