@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomcat import vocabulary as V
 from loomcat.functions import text
-from loomcat.operators import documents as docs, entity, ledger, search
-from loomcat.plans.compile import Compiled
+from loomcat.operators import documents as docs, ledger, review, search
+from loomcat.plans.compile import Compiled, compile_catalogue
+from loomcat.sources import catalogue as files, sinks
+
+UPLOAD_BYTES = 25 * 1024 * 1024
 
 
 class Engine:
@@ -22,9 +27,19 @@ class Engine:
         rows = [(i, c, c in V.SOURCE_REQUIRED, V.LIMITS.get(c)) for i, c in enumerate(V.DELIVERY)]
         return self.spark.createDataFrame(rows, "ord int, column string, source_required boolean, limit int")
 
+    def health(self) -> DataFrame:
+        """One row: whether a run stands, its records and documents."""
+        return self.run.delivery.agg(F.lit(True).alias("ready"), F.count("*").alias("records")).crossJoin(self.docs.agg(F.count("*").alias("documents")))
+
+    def status(self) -> DataFrame:
+        """check, pass, detail of the run's self checks."""
+        return self.run.checks
+
     def vocabulary(self) -> DataFrame:
-        """name, provenance of the vocabularies."""
-        return self.spark.createDataFrame(sorted(self.vocab.provenance.items()), "name string, provenance string")
+        """name, provenance, entries of the vocabularies."""
+        tables = {"units": self.vocab.units, "manufacturers": self.vocab.manufacturers, "distributors": self.vocab.distributors, "leaves": self.vocab.leaves, "synonyms": self.vocab.synonyms}
+        rows = [(name, self.vocab.provenance.get(name, "supplied"), df.count()) for name, df in sorted(tables.items())]
+        return self.spark.createDataFrame(rows, "name string, provenance string, entries long")
 
     def records(self, words: str = "", status: str | None = None) -> DataFrame:
         """Records whose part number, names or descriptions hold some words, by status; in order of row_id."""
@@ -75,6 +90,59 @@ class Engine:
         """label, value of a document's specifications."""
         return docs.spec_block(self.docs.where(F.col("doc_id") == doc_id)).select("label", "value")
 
+    def document_text(self, doc_id) -> DataFrame:
+        """The document's row, its whole text included."""
+        return self.docs.where(F.col("doc_id") == doc_id)
+
+    def document_facts(self, doc_id) -> DataFrame:
+        """field, value, start, end of everything a document states: features, applications, prose, links."""
+        return docs.facts(self.document_text(doc_id).select("doc_id", "text", "domain")).select("field", "value", "start", "end")
+
+    def discovery(self) -> DataFrame:
+        """kind, n: families, axes, induced attributes, and how many wait for a name."""
+        found = self.run.induction.attributes
+        parts = [("families", self.run.families.families), ("axes", self.run.axis_names), ("axes without a name", self.run.axis_names.where("label is null")), ("induced attributes", found), ("attributes without a name", found.where("label is null"))]
+        return self.spark.createDataFrame([(k, df.count()) for k, df in parts], "kind string, n long")
+
+    def actions(self) -> DataFrame:
+        """The questions of the review queue in their order."""
+        return self.run.queue.actions.orderBy("action_id")
+
+    def decide(self, log: str, kind: str, key: str, value: str, at: str, actor: str = "reviewer") -> DataFrame:
+        """Add a decision to the log in a folder; gives what is then in force. `recompiled` applies it."""
+        sinks.append_decisions(review.decision(self.spark, kind, key, value, at, actor), log)
+        return files.decided(self.spark.read.schema(files.DECISION).json(log))
+
+    def reset_decisions(self, log: str, at: str) -> DataFrame:
+        """Take all decisions back; the log keeps them."""
+        return self.decide(log, "clear", "", "", at)
+
+    def recompiled(self, catalogue: DataFrame, live: DataFrame, compiled_at: str = "1970-01-01T00:00:00Z") -> Engine:
+        """A run over a catalogue with the decisions in force (kind, key, value), of all four kinds; also for an uploaded file."""
+        of = lambda kind, key, value: live.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("value").alias(value))
+        run = compile_catalogue(catalogue, self.docs, self.vocab, compiled_at, of("manufacturer_map", "part_manuf", "manufacturer_name"), of("item_type_map", "item_type", "classpath"), of("attribute_names", "key", "label"), live)
+        return Engine(self.spark, run, self.docs, self.vocab)
+
+    def uploaded(self, path: str, live: DataFrame) -> Engine:
+        """A run over a file of UPLOAD_BYTES at most, a workbook or csv; the present run stays as it is, to go back to."""
+        if not path.lower().endswith((".xlsx", ".xls", ".csv")):
+            raise ValueError("not a workbook or csv file")
+        if Path(path).stat().st_size > UPLOAD_BYTES:
+            raise ValueError(f"more than {UPLOAD_BYTES} bytes; read the catalogue as a table")
+        return self.recompiled(files.read_catalogue(self.spark, path), live)
+
+    def download(self, path: str) -> int:
+        """The delivery as one csv file or workbook, by the path's ending; gives the number of rows."""
+        rows = self.run.delivery.select(*V.DELIVERY)
+        return sinks.write_workbook(rows, path) if path.lower().endswith(".xlsx") else sinks.write_csv_file(rows, path)
+
+    def artefacts(self, folder: str, records: int = 120) -> None:
+        """The run's reports as JSON: checks, evidence of the first records, questions, discovery, abstentions by reason."""
+        first = self.run.items.select("row_id").orderBy("row_id").limit(records)
+        parts = {"metrics": self.status(), "evidence": self.run.claims.join(first, "row_id", "left_semi"), "review_queue": self.run.queue.actions, "discovery": self.discovery(), "abstentions": review.by_reason(self.run.abstentions)}
+        for name, df in parts.items():
+            sinks.write_json(df, f"{folder}/{name}")
+
     def gate_test(self, url: str, maker: str = "") -> DataFrame:
         """verdict, reason for one URL."""
         one = self.spark.createDataFrame([(url, maker)], "url string, manufacturer_name string")
@@ -96,16 +164,7 @@ class Engine:
 
     def contradictions(self) -> DataFrame:
         """Records whose brand belongs to another maker."""
-        return entity.contradictions(self.run.resolutions, self.vocab.manufacturers)
-
-    def leaning_on_unnamed(self, values: DataFrame) -> DataFrame:
-        """row_id of rows that have an unnamed induced attribute of which no attribute text holds a value.
-
-        values: row_id, attr_id, value of unnamed attributes.
-        """
-        told = self.run.attributes.groupBy("row_id").agg(F.lower(F.concat_ws(" ", F.collect_list(F.concat_ws(" ", "label", "value", "uom")))).alias("t"))
-        seen = values.join(told, "row_id", "left").groupBy("row_id", "attr_id").agg(F.max(F.contains(F.coalesce("t", F.lit("")), F.lower("value")).cast("int")).alias("seen"))
-        return seen.where("seen = 0").select("row_id").distinct()
+        return self.run.contradictions
 
     def review(self) -> DataFrame:
         """reason, records: how many records each reason holds back."""

@@ -143,17 +143,10 @@ _ACC = "'accessory', 'accessories', 'acct', 'account', 'vendor', 'div', 'divisio
 
 
 @query(f"""SELECT part_manuf, regexp_replace(array_to_string([w FOR w IN string_split_regex(regexp_replace(part_manuf, '\\s*\\(\\d{{2,6}}\\)\\s*$', ''), '\\s+')
- IF w <> '' AND lower(regexp_replace(w, '^[.,]+|[.,]+$', '', 'g')) NOT IN ({_ACC})], ' '), '^[ .,]+|[ .,]+$', '', 'g') AS core FROM items WHERE regexp_matches(part_manuf, '^[ -~]*$') GROUP BY 1""")
+ IF w <> '' AND lower(regexp_replace(w, '^[.,]+|[.,]+$', '', 'g')) NOT IN ({_ACC})], ' '), '^[ .,]+|[ .,]+$', '', 'g') AS core FROM items WHERE part_manuf IS NOT NULL GROUP BY 1""")
 def account_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vendor cells without what marks an account."""
-    return table(spark, sf_dir, "items").where(F.col("part_manuf").rlike("^[ -~]*$")).select("part_manuf").distinct().withColumn("core", text.strip_account(F.col("part_manuf")))
-
-
-@query()
-def account_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """all vendor cells, whatever their letters, without what marks an account."""
-    cells = table(spark, sf_dir, "items").where("part_manuf is not null").select("part_manuf").distinct()
-    return cells.withColumn("core", text.strip_account(F.col("part_manuf")))
+    return table(spark, sf_dir, "items").where("part_manuf is not null").select("part_manuf").distinct().withColumn("core", text.strip_account(F.col("part_manuf")))
 
 
 @query("""WITH v AS (SELECT DISTINCT value FROM attributes WHERE regexp_full_match(value, '\\d+|\\d*\\.\\d+|\\d+/[1-9]\\d*|\\d+-\\d+/[1-9]\\d*')),
@@ -215,19 +208,8 @@ def locators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again
 
 
-@query("""WITH d AS (SELECT part_number, max(doc_id) AS doc_id FROM documents WHERE part_number IS NOT NULL AND text IS NOT NULL GROUP BY 1), m AS (SELECT doc_id, part_number, text FROM d JOIN documents USING (doc_id, part_number))
-SELECT doc_id, CASE WHEN instr(text, part_number) > 0 THEN instr(text, part_number) - 1 WHEN instr(lower(text), lower(part_number)) > 0 THEN instr(lower(text), lower(part_number)) - 1 END::INT AS start FROM m
-WHERE instr(lower(text), lower(part_number)) > 0 AND part_number <> ''""")
+@query("""SELECT doc_id, CASE WHEN instr(text, part_number) > 0 THEN instr(text, part_number) ELSE instr(lower(text), lower(part_number)) END::INT - 1 AS start FROM documents WHERE instr(lower(text), lower(part_number)) > 0 AND part_number <> ''""")
 def find_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """where a document names its part."""
-    d = table(spark, sf_dir, "documents").where("part_number is not null and text is not null")
-    last = d.groupBy("part_number").agg(F.max("doc_id").alias("doc_id"))
-    m = d.join(last, ["part_number", "doc_id"]).where("instr(lower(text), lower(part_number)) > 0 and part_number <> ''")
-    return m.select("doc_id", text.find_span(F.col("text"), F.col("part_number"))["start"].alias("start"))
-
-
-@query()
-def find_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """where each document with a text and a part number names its part."""
     d = table(spark, sf_dir, "documents").where("part_number <> '' and instr(lower(text), lower(part_number)) > 0")
     return d.select("doc_id", text.find_span(F.col("text"), F.col("part_number"))["start"].alias("start"))
@@ -560,19 +542,11 @@ def delivery_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.pivoted(claims(spark, sf_dir), ["BRAND_NAME", "UPC", "ITEM_TYPE"])
 
 
-@query(f"WITH {_CLAIM}, v AS (SELECT DISTINCT user_id AS row_id, 'UPC' AS field, (user_id % 9)::VARCHAR AS value FROM events) SELECT row_id, field, value FROM v WHERE NOT EXISTS (SELECT 1 FROM rk WHERE rk.row_id = v.row_id AND rk.field = 'UPC' AND rk.claim_ord % 50 = 1)")
+@query(f"WITH {_CLAIM}, v AS (SELECT DISTINCT user_id * 2 AS row_id, 'UPC' AS field, (user_id % 9)::VARCHAR AS value FROM events) SELECT row_id, field, value FROM v WHERE NOT EXISTS (SELECT 1 FROM rk WHERE rk.row_id = v.row_id AND rk.field = 'UPC')")
 def withdrawn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells without a publishable claim."""
-    v = table(spark, sf_dir, "events").select(F.col("user_id").alias("row_id")).distinct().withColumn("UPC", (F.col("row_id") % 9).cast("string"))
-    return ledger.withdrawn(claims(spark, sf_dir).where("claim_ord % 50 = 1"), v, ["UPC"])
-
-
-@query()
-def cells_withdrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of all source-required columns of events without a publishable claim, by all claims."""
-    v = table(spark, sf_dir, "events").select(F.col("user_id").alias("row_id")).distinct()
-    columns = ["BRAND_NAME", "UPC", "ITEM_TYPE"]
-    return ledger.withdrawn(claims(spark, sf_dir), v.select("row_id", *[(F.col("row_id") % 9).cast("string").alias(c) for c in columns]), columns)
+    v = table(spark, sf_dir, "events").select((F.col("user_id") * 2).alias("row_id"), (F.col("user_id") % 9).cast("string").alias("UPC")).distinct()
+    return ledger.withdrawn(claims(spark, sf_dir), v, ["UPC"])
 
 
 @query("SELECT event_id, CASE WHEN v >= 0.85 THEN 'high' WHEN v >= 0.72 THEN 'medium' WHEN v >= 0.5 THEN 'low' ELSE 'very low' END AS band FROM (SELECT event_id, (event_id % 100) / 100.0::DOUBLE AS v FROM events)")
@@ -675,23 +649,25 @@ def _enriched(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFra
     return docs.overruled(a, specs).select("row_id", "label", "value", "outcome")
 
 
-@query("""WITH d AS (SELECT doc_id AS row_id, unnest([x FOR x IN regexp_extract_all(coalesce(split_part(text, chr(10), 1), ''), '\\d+(?:[.\\-/]\\d+)*')]) AS n FROM documents), t AS (SELECT doc_id AS row_id, unnest(regexp_extract_all(coalesce(part_number, ''), '\\d+(?:[.\\-/]\\d+)*')) AS n FROM documents),
+@query("""WITH d AS (SELECT doc_id AS row_id, unnest([x FOR x IN regexp_extract_all(coalesce(text, ''), '\\d+(?:[.\\-/]\\d+)*')]) AS n FROM documents), t AS (SELECT doc_id AS row_id, unnest(regexp_extract_all(coalesce(part_number, ''), '\\d+(?:[.\\-/]\\d+)*')) AS n FROM documents),
 z AS (SELECT row_id, CASE WHEN regexp_full_match(n, '0+') THEN '0' ELSE ltrim(n, '0') END AS number FROM d), y AS (SELECT row_id, CASE WHEN regexp_full_match(n, '0+') THEN '0' ELSE ltrim(n, '0') END AS number FROM t)
 SELECT DISTINCT row_id, 'INVOICE_DESC' AS field, number FROM z WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.row_id = z.row_id AND y.number = z.number)""")
 def untraced_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of first lines that the part number does not hold."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("INVOICE_DESC"), F.coalesce("part_number", F.lit("")).alias("value"))
+    """Numbers of documents that the part number does not hold."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.coalesce("text", F.lit("")).alias("INVOICE_DESC"), F.coalesce("part_number", F.lit("")).alias("value"))
     made = d.select("row_id", "INVOICE_DESC", *[F.lit("").alias(c) for c in verify.GENERATED[1:]])
     none = d.select("row_id", F.lit("x").alias("field"), "value").limit(0)
     return verify.untraced_numbers(made, none, d.select("row_id", "value"), none.select("row_id", "value"))
 
 
-@query("""WITH t AS (SELECT doc_id AS row_id, coalesce(split_part(text, chr(10), 1), '') AS t FROM documents), x AS (SELECT row_id, 'INVOICE_DESC' AS field, t, CASE WHEN length(t) > 40 THEN 'over the limit' WHEN t <> upper(t) THEN 'not in capitals' END AS problem FROM t
- UNION ALL SELECT row_id, 'MOBILE_DESC', t, CASE WHEN length(t) > 80 THEN 'over the limit' END FROM t) SELECT row_id, field, length(t)::INT AS length, problem FROM x WHERE problem IS NOT NULL""")
+_LIMITS = {"INVOICE_DESC": 40, "MOBILE_DESC": 80, "SHORT_DESC": 120, "PRODUCT_TITLE": 150, "LONG_DESC": 1000}
+
+
+@query("WITH t AS (SELECT doc_id AS row_id, coalesce(text, '') AS t FROM documents), l(field, most) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _LIMITS.items()) + """),
+x AS (SELECT row_id, field, t, CASE WHEN length(t) > most THEN 'over the limit' WHEN field = 'INVOICE_DESC' AND t <> upper(t) THEN 'not in capitals' END AS problem FROM t, l) SELECT row_id, field, length(t)::INT AS length, problem FROM x WHERE problem IS NOT NULL""")
 def limit_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: texts over their limits."""
-    first = F.split(F.coalesce("text", F.lit("")), "\n")[0]
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), first.alias("INVOICE_DESC"), first.alias("MOBILE_DESC"), *[F.lit("").alias(c) for c in verify.CHECKED[2:]])
+    """V1: whole texts of documents over the limit of each field, or not in capitals."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), *[F.coalesce("text", F.lit("")).alias(c) for c in verify.CHECKED])
     return verify.limit_failures(d)
 
 
@@ -740,14 +716,22 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
-@query()
+_ASKED = "i AS (SELECT row_id, any_value(part_number) AS part_number, any_value(description) AS text FROM items WHERE row_id % 50 = 0 AND part_number <> 'MISC-0000' AND trim(description) <> '' GROUP BY 1)"
+
+
+@query(f"WITH {_ASKED}, " + _BM.replace("q AS (SELECT item_id AS query_id", "q AS (SELECT row_id AS query_id", 1).replace("FROM eval_items)", "FROM i)", 1) + """, hit AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, fp, doc_id) AS rank FROM sc) WHERE rank <= 10),
+rel AS (SELECT row_id AS query_id, doc_id FROM i JOIN documents USING (part_number)), per AS (SELECT query_id, n, (SELECT count(*) FROM hit JOIN rel r USING (query_id, doc_id) WHERE query_id = z.query_id) AS found,
+ (SELECT min(rank) FROM hit JOIN rel r USING (query_id, doc_id) WHERE query_id = z.query_id) AS best, (SELECT count(*) FROM hit WHERE query_id = z.query_id) AS hits FROM (SELECT query_id, count(*) AS n FROM rel GROUP BY 1) z)
+SELECT count(*) AS n_queries, round(avg(found / least(n, 10)), 4) AS recall, round(avg(coalesce(1 / best, 0)), 4) AS mrr, round(avg((hits = 0)::INT::DOUBLE), 4) AS zero_share FROM per""")
 def ir_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall, reciprocal rank and empty results against documents that hold the start of the query."""
-    e, d = table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")
-    starts = [(r[0], r[1][:60].lower()) for r in e.select("item_id", "text").where("text is not null").limit(100_000).collect()]
-    seen = F.array(*[F.when(F.lower("text").contains(s), F.lit(i).cast("long")) for i, s in starts])
-    rel = d.where("text is not null").select("doc_id", F.explode(F.filter(seen, lambda x: x.isNotNull())).alias("query_id"))
-    return search.quality(_hits(spark, sf_dir), rel, e.select(F.col("item_id").alias("query_id")))
+    """Recall, reciprocal rank and empty results of descriptions as queries against the documents of their parts.
+
+    The queries are the items whose id is divisible by 50, searched in all documents.
+    """
+    asked = records(spark, sf_dir).where("row_id % 50 = 0 and part_number <> 'MISC-0000' and trim(description) <> ''").select(F.col("row_id").alias("query_id"), "part_number", F.col("description").alias("text"))
+    d = table(spark, sf_dir, "documents")
+    hits = search.top(search.scores(search.index(d), search.query_terms(asked, "query_id", "text")), 10)
+    return search.quality(hits, asked.join(d.select("doc_id", "part_number"), "part_number").select("query_id", "doc_id"), asked.select("query_id"))
 
 
 @query(f"""WITH {REC}, s(leaf, term) AS (VALUES ('harbor_edi', 'ball valve'), ('harbor_edi', 'shutoff valve'), ('kestrel_csv', 'pop rivet'), ('kestrel_csv', 'blind rivet'), ('oldmill_xls', 'furnace filter')), w AS (SELECT leaf, term, unnest([x FOR x IN string_split(term, ' ') IF length(x) > 2]) AS w FROM s),
@@ -808,7 +792,7 @@ def label_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT text, value FROM (SELECT trim(value) AS text, n / d AS value, row_number() OVER (PARTITION BY n / d ORDER BY attr_id) AS k FROM (SELECT *, try_cast(regexp_extract(value, '^\\s*(\\d+)\\s*/\\s*(\\d+)\\s*$', 1) AS INT) AS n, try_cast(regexp_extract(value, '^\\s*(\\d+)\\s*/\\s*(\\d+)\\s*$', 2) AS INT) AS d
  FROM (SELECT DISTINCT attr_id, value FROM attributes) WHERE regexp_full_match(value, '\\s*\\d+\\s*/\\s*\\d+\\s*')) WHERE n > 0 AND n < d) WHERE k = 1""")
 def fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fractions found in a column, each value once."""
+    """Fractions found in a column, each value once."""
     a = table(spark, sf_dir, "attributes").select(F.col("attr_id").alias("pos"), F.col("value").alias("cell")).distinct()
     return files.fraction_table(a)
 

@@ -2,11 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from loomcat import vocabulary as V
 from loomcat.api import Engine
+from loomcat.operators import review
 from loomcat.plans.compile import compile_catalogue, leaves
 from loomcat.sources import catalogue as files, sinks
 from loomcat.streaming import items as stream
@@ -49,6 +51,22 @@ def test_compile(spark, tmp_path):
     assert {r["column"]: r["value"] for r in engine.record(0).collect()}["UPC"] == "123" and engine.evidence(0).where("winner").count() > 5
     assert engine.gate_test("https://acme.example/x", "Acme Wheels Inc.").first()["verdict"] == "admitted" and engine.sourcing().count() == 1
     assert {(r["side"], r["rank"]) for r in engine.search("flap disc AB12345").collect()} >= {("before", 1), ("after", 1)}
+    checks = {r["check"]: r["pass"] for r in engine.status().collect()}
+    assert len(checks) == 14 and all(p for c, p in checks.items() if "untraceable" not in c and "MFG_PART_NUM" not in c), checks
+    reasons = {r["reason"]: r["abstentions"] for r in review.by_reason(run.abstentions).collect()}
+    assert reasons["no manufacturer prose retrieved"] >= 1 and engine.health().first()["records"] == 4
+    asked = engine.actions().collect()
+    assert [r["action_id"] for r in asked] == [f"act-{i:04d}" for i in range(1, len(asked) + 1)] and {r["kind"] for r in asked} <= set(review.KINDS)
+    assert engine.document_facts("d1").count() >= 0 and engine.document_text("nothing").count() == 0 and engine.discovery().count() == 5
+    assert {r["name"] for r in engine.vocabulary().collect()} == {"units", "manufacturers", "distributors", "leaves", "synonyms"}
+    assert engine.download(f"{tmp_path}/d.xlsx") == 4 and sinks.workbook_cells(f"{tmp_path}/d.xlsx")[0] == 4
+    back = files.read_cells(spark, f"{tmp_path}/d.xlsx")
+    assert back.columns == V.DELIVERY and sinks.contents(back).first()["n_populated"] == sinks.workbook_cells(f"{tmp_path}/d.xlsx")[1]
+    engine.artefacts(f"{tmp_path}/json")
+    assert spark.read.json(f"{tmp_path}/json/metrics").count() == 14
+    assert [r["kind"] for r in engine.decide(f"{tmp_path}/log", "item_type", "gizmo", "P>a", "1").collect()] == ["item_type_map"] and engine.reset_decisions(f"{tmp_path}/log", "2").count() == 0
+    with pytest.raises(ValueError):
+        engine.uploaded(f"{tmp_path}/d.exe", spark.createDataFrame([], "kind string, key string, value string"))
     assert engine.families().count() == run.families.families.count() and engine.contradictions().count() == 0 and engine.review().count() > 0
 
 
