@@ -120,12 +120,13 @@ class TermModel:
         if best is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            ids = [i for t in terms_of(words) if (i := self.terms.get(t)) is not None]
+            ids = [i for i in map(self.terms.get, terms_of(words)) if i is not None]
             best = -1, 0.0
             if ids:
                 sums = self.weights[ids].sum(0)
-                first = int(np.argmax(sums))
-                best = first, float(sums[first] - np.delete(sums, first).max(initial=-3.0)) / len(ids)
+                first = int(sums.argmax())
+                most, sums[first] = float(sums[first]), -3.0
+                best = first, (most - float(sums.max())) / len(ids)
             self.memo[key] = best
         return best
 
