@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomcat import vocabulary as V
 from loomcat.functions import text, tokens
-from loomcat.session import settled, small
+from loomcat.session import fixed_rows, settled, small
 
 WORD_SHARE, RATIO = 0.62, 0.86
 #: Letters of a first word that may stand for a maker, and what its score counts.
 FIRST_LETTERS, FIRST_SHARE = 3, 0.9
-#: Words of the longest alias that is looked for in descriptions.
-ALIAS_WORDS = 6
 
 
 def alias_table(manufacturers: DataFrame) -> DataFrame:
@@ -74,7 +72,7 @@ def best_alias(keys: DataFrame, aliases: DataFrame) -> DataFrame:
     left = keys.join(small(aliases.select(F.col("alias").alias("key"))), "key", "left_anti")
     by_words = settled(word_matches(left, aliases).where(F.col("score") >= WORD_SHARE))
     rest = left.join(by_words.select("key"), "key", "left_anti")
-    known = sorted(r[0] for r in aliases.select("alias").limit(50_000).collect())
+    known = sorted(r[0] for r in fixed_rows(aliases.select("alias")))
     close = rest.mapInPandas(_close(known), "key string, alias string, score double")
     return exact.unionByName(by_words.select("key", "alias", "score")).unionByName(close)
 
@@ -82,12 +80,13 @@ def best_alias(keys: DataFrame, aliases: DataFrame) -> DataFrame:
 def alias_in_text(items: DataFrame, aliases: DataFrame, column: str = "description") -> DataFrame:
     """row_id, alias, score: the longest alias that a text holds as whole words; the first by bytes of equals.
 
-    Runs of words of the text are joined with the aliases, so no text is tried against all of them.
+    Runs of as many words as the longest alias has at most of the text are joined with the aliases, so no text is tried against all of them.
     """
+    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     words = F.split(text.norm_key(F.col(column)), " ")
     run = lambda i, k: F.array_join(F.slice("w", i, k), " ")
     starts = F.sequence(F.lit(1), F.size("w"))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(ALIAS_WORDS), F.size("w") - i + 1)), lambda k: run(i, k))))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda k: run(i, k))))
     grams = items.where(F.length(text.norm_key(F.col(column))) > 0).select("row_id", words.alias("w")).select("row_id", F.explode(F.array_distinct(runs)).alias("alias"))
     met = grams.join(small(aliases.where(F.length("alias") >= 2).select("alias")), "alias")
     best = met.groupBy("row_id").agg(F.min(F.struct((-F.length("alias")).alias("n"), "alias")).alias("b"))
